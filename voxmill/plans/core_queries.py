@@ -10,9 +10,9 @@ QUERIES = {
 }
 
 _KEY = r"""
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(url_decode(replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url_decode(replace(
       regexp_replace(translate(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '\', '/'), '^file://', ''), '+', '%2B')),
-      '^([^/])', '/srv/speech/\1'), '/(\./)+', '/', 'g'), '/+', '/', 'g'), '/[^/]+/\.\./', '/', 'g')
+      '^([^/])', '/srv/speech/\1'), '/(\./)+', '/', 'g'), '/+', '/', 'g'), '/[^/]*[^/.][^/]*/\.\./', '/', 'g'), '/[^/]*[^/.][^/]*/\.\./', '/', 'g'), '/[^/]*[^/.][^/]*/\.\./', '/', 'g')
 """
 
 ORACLES = {
