@@ -80,3 +80,24 @@ def together(*jobs):
     """Run independent Spark actions at the same time and return their results in order."""
     with ThreadPoolExecutor(len(jobs)) as pool:
         return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application, unless PYTHONPATH has it."""
+    import pathlib
+    import zipfile
+
+    home = pathlib.Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if app in _SHIPPED or str(home.parent) in on_path:
+        return
+    at = os.path.join(tempfile.mkdtemp(), "voxmill.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(at)
+    _SHIPPED.add(app)
