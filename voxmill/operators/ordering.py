@@ -16,9 +16,9 @@ def hashed_rank(
     over as many tasks as it needs; bucket totals (one row per key and bucket) give the offsets.
     Null keys form a group of their own.
     """
-    buckets = max(1, -(-rows // bucket_rows))
-    span = (1 << 64) // buckets + 1
-    cut = F.floor((F.col("_h").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")) / F.lit(span).cast("decimal(20,0)")).cast("long")
+    buckets = min(1 << 20, max(1, -(-rows // bucket_rows)))
+    top = F.shiftright("_h", 44) + F.lit(1 << 19)  # 0 .. 2^20 - 1, in the order of the hash
+    cut = F.shiftright(top * F.lit(buckets), 20).cast("long")
     out = df.withColumn("_h", order)
     out = out.withColumn("_b", cut if buckets > 1 else F.lit(0).cast("long"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_h", *tie)
