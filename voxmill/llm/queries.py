@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxmill.llm import percentiles, repeats, sampling, splits, transcripts
+from voxmill.llm import containers, langid, mixing, percentiles, repeats, sampling, splits, transcripts
 
 
 def _p1_found(spark, sf_dir):
@@ -37,6 +37,15 @@ QUERIES = {
     "p5_found": _p5_found,
     "p5_events": _p5_events,
     "p6_percentiles": percentiles.report,
+    "p7_found": containers.found,
+    "p7_filled": containers.filled,
+    "p7_report": containers.fill_report,
+    "p8_found": mixing.found,
+    "p8_mixed": mixing.mixed,
+    "p8_report": mixing.report,
+    "p9_found": langid.found,
+    "p9_documents": lambda spark, sf_dir: langid.documents(spark.read.parquet(f"{sf_dir}/documents.parquet")),
+    "p9_segments": lambda spark, sf_dir: langid.segments(spark.read.parquet(f"{sf_dir}/documents.parquet")),
 }
 
 _USABLE = "select utterance_id, max(words) as words from utterances where words > 0 and utterance_id is not null group by 1"
