@@ -34,6 +34,8 @@ MIN_LETTERS, MIN_WORDS = 10, 3
 MARGIN = 1.2
 #: A passage without sentence marks is parsed in pieces of so many words if it is longer than LONG_WORDS.
 LONG_WORDS, PIECE_WORDS = 36, 5
+#: Letters that are parsed one after the other; longer passages are cut there.
+SLICE = 1000
 #: Cost of a change of language between pieces, in phrases.
 SWITCH = 6.0
 
@@ -62,9 +64,10 @@ _TO_CODE = str.maketrans({c: chr(i) for c, i in _CODE.items()} | {" ": "\0"})
 _BY_LABEL = {w: code for code, words in LABELS.items() for w in words.split()}
 #: Marks of a list item, a speaker or a time at the start of a line; lines of noise hold too few letters.
 _LEAD = re.compile(r"^\s*(?:[-*•]+\s+|[A-Z]:\s+|a:\s+|b:\s+|\[[\d:.]+\]\s*|<[\d:.]+>\s*)*")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”»)]*\s+|\n+")
-_NOISE = re.compile(r"&=\S+|\[[^\]\n]{0,40}\]|<[^>\n]{0,40}>|\([^)\n]{0,40}\)|\S*\d\S*|\S*@\S*|\S+[-_]\S*[-_]\S+|(?i:\b(?:xxx|yyy|www|db|hz|flac|mic|wav|txt)\b)")
-_WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'”»)]*+\s+|\n+")
+_NOISE = re.compile(r"&=\S+|\[[^\]\n]{0,40}\]|<[^>\n]{0,40}>|\([^)\n]{0,40}\)")
+#: Words with digits, addresses, names joined twice, and units and marks are no language.
+_NO_WORD = re.compile(r"[\d@]|[-_].*[-_]|^(?i:xxx|yyy|www|db|hz|flac|mic|wav|txt)[.,;:]?$")
 
 
 def label_code(label: str | None) -> str | None:
@@ -96,7 +99,7 @@ def folded(text: str) -> str:
     t = text.lower()
     if not t.isascii():
         t = "".join(PLAIN.get(c, c) for c in t)
-        t = "".join(c for c in unicodedata.normalize("NFKD", t.replace("й", "\ufffe")) if not unicodedata.combining(c)).replace("\ufffe", "й")
+        t = "".join(c for c in unicodedata.normalize("NFD", t.replace("й", "\ufffe")) if not unicodedata.combining(c)).replace("\ufffe", "й")
     return " ".join(re.findall(r"[a-zа-я]+", t))
 
 
@@ -106,7 +109,8 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     for m in [*_SENTENCE.finditer(text), None]:
         end = m.end() if m else len(text)
         raw = text[at:end]
-        body = folded(_NOISE.sub(" ", _LEAD.sub("", repaired(raw))))
+        kept = _NOISE.sub(" ", _LEAD.sub("", repaired(raw)))
+        body = folded(" ".join(w for w in kept.split() if not _NO_WORD.search(w)))
         if body:
             out.append((at, at + len(raw.rstrip()), body))
         at = end
@@ -154,21 +158,25 @@ class Automaton:
         self.bits = math.log2(max(2, len(text)))
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Number of phrases of each row of ``codes`` (padded; ``lengths`` descending), all rows side by side."""
+        """Number of phrases of each row of ``codes`` (padded; ``lengths`` descending), all rows side by side.
+
+        A phrase is counted where it starts; a letter that the text lacks is a phrase of its own.
+        """
         n = len(lengths)
-        state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)  # state 0, the root: no phrase is open
         cols = self.columns[codes]
         width = self.table.shape[1]
         flat = self.table.ravel()
-        root = self.table[0]
+        root = np.maximum(self.table[0], 0)
         for t in range(codes.shape[1]):
             m = int(np.searchsorted(-lengths, -t, side="left"))  # rows longer than t
             c = cols[:m, t]
-            to = flat[state[:m] * width + c]
-            miss = to < 0
-            count[:m] += miss
-            state[:m] = np.where(miss, np.maximum(root[c], 0), to)
-        return count + (lengths > 0)
+            s = state[:m]
+            to = flat[s * width + c]
+            starts = (to < 0) | (s == 0)
+            count[:m] += starts
+            state[:m] = np.where(starts, root[c], to)
+        return count
 
 
 @dataclass
@@ -179,24 +187,26 @@ class Model:
     def costs(self, texts: list[str], cells: int = 1 << 21) -> np.ndarray:
         """Bits per letter that each text needs in each language: phrases times log2 of the labelled text's size.
 
-        Repeated texts are parsed once; texts of like length are parsed together, ``cells`` letters at a time.
+        Repeated texts are parsed once; texts of like length are parsed together, ``cells`` letters at a
+        time. Texts above ``SLICE`` letters are parsed in slices, which adds at most a phrase each.
         """
         index: dict[str, int] = {}
         where = [index.setdefault(t, len(index)) for t in texts]
-        order = sorted(index, key=len, reverse=True)
-        out = np.zeros((len(order), len(self.codes)))
+        slices = sorted(((t[a : a + SLICE], r) for t, r in index.items() for a in range(0, len(t), SLICE)), key=lambda x: -len(x[0]))
+        out = np.zeros((len(index), len(self.codes)))
         s = 0
-        while s < len(order):
-            part = order[s : s + max(1, cells // max(1, len(order[s])))]
-            lengths = np.array([len(t) for t in part])
-            codes = np.zeros((len(part), max(1, int(lengths[0]))), np.uint8)
-            for r, t in enumerate(part):
+        while s < len(slices):
+            part = slices[s : s + max(1, cells // len(slices[s][0]))]
+            lengths = np.array([len(t) for t, _ in part])
+            codes = np.zeros((len(part), int(lengths[0])), np.uint8)
+            for r, (t, _) in enumerate(part):
                 codes[r, : lengths[r]] = np.frombuffer(t.translate(_TO_CODE).encode("latin-1", "replace"), np.uint8)
-            rows = [index[t] for t in part]
+            rows = np.array([r for _, r in part])
             for k, a in enumerate(self.automata):
-                out[rows, k] = a.phrases(codes, lengths) * a.bits / np.maximum(1, lengths)
+                np.add.at(out[:, k], rows, a.phrases(codes, lengths))
             s += len(part)
-        return out[where]
+        size = np.array([max(1, len(t)) for t in index])[:, None]
+        return (out * np.array([a.bits for a in self.automata]) / size)[where]
 
 
 def _chosen(parts: list[str], chars: int, novel_first: bool) -> str:
@@ -290,7 +300,10 @@ def _settle(parts: list[tuple[int, int, str]], cost: np.ndarray, codes: list[str
         best[:] = whole.argmin()
     else:
         settled = np.flatnonzero(sure)
-        near = settled[np.abs(np.arange(len(best))[:, None] - settled[None, :]).argmin(axis=1)]
+        here = np.arange(len(best))
+        at = np.searchsorted(settled, here)
+        before, after = settled[np.maximum(at - 1, 0)], settled[np.minimum(at, len(settled) - 1)]
+        near = np.where(np.abs(here - before) <= np.abs(after - here), before, after)
         best = np.where(sure, best, best[near])
     out: list[list] = []
     for (s, e, b), k, row, t in zip(parts, best, cost, two):

@@ -36,12 +36,12 @@ Inner     <- (Bracketed / Starred / Name / ~"[^\w\[\]()<>*]+")*
 Starred   <- '*' (Name / ~"[ \t]+")+ '*'
 Name      <- ~"\w+(:\w+)*"
 Code      <- Sound / Broken / Pause / ~"[&@]\S*" / ~"\+\S*"
-Sound     <- ~"[^\s@]*@\S*"
+Sound     <- ~"[\w'’-]*@\S*"
 Broken    <- ~"&\+\S*"
 Pause     <- ~"&-?[^\W\d_]+"
 Unclear   <- ~"(?i:xxx|yyy|www)(?![\w'])"
 Filler    <- ~"(?i:u+h+m*|u+m+|e+r+m*|e+h+m*|h+m+|m+h+m+|mm+)(?![\w'’])"
-Word      <- ~"['’]?[^\W\d_]+(?:['’-]*\w)*['’]?(?![^\s@]*@)[.,!?;:…]*\s*"
+Word      <- ~"['’]?[^\W\d_]++(?:['’-]*\w)*+['’]?+(?!@)[.,!?;:…]*\s*"
 Mark      <- ~"[^\w\s&@+\[\](<*\x15]+"
 Stray     <- ~"\d[\w.,:]*" / ~"\S"
 End       <- ~"(?=[\s.,!?;:…]|$)"
