@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
-#: Documents of one label in which a sentence must stand to be trusted without being parsed.
-FIRM_VOTES = 3
+#: Documents of one label, and share of them, in which a sentence must stand to be trusted without being
+#: parsed; more than the edited copies of one mislabelled document make.
+FIRM_VOTES, FIRM_SHARE = 3, 0.02
 #: Small models that judge the labels of the sample, and letters per language that each is made of.
 JUDGES, JUDGE_CHARS = 5, 4000
+#: A sentence is safe if its label's language needs at most this part of the phrases of any other,
+#: and at most so many of its document's sentences are not.
+SAFE, MOST_UNSAFE = 0.8, 0.2
 #: Letters and words that a full sentence has at least, for its language to be decided on its own.
 MIN_LETTERS, MIN_WORDS = 10, 3
 #: The runner-up needs so many times the winner's phrases, else a sentence follows its neighbours.
@@ -232,45 +236,64 @@ def fit(rows: list[tuple[str, str]], chars: int = SAMPLE_CHARS) -> Model:
 
     A sentence counts for the language that most of its documents are labelled with. Those that
     stand in few documents are then parsed by ``JUDGES`` small models, each of other documents;
-    where, in the median, another language needs fewer phrases, the label is taken for wrong. Small
+    where, in the median, another language needs fewer phrases, the label is taken for wrong, and
+    where it needs hardly more, the sentence is used only if there is too little safe text. Small
     models judge best here: what little mislabelled text each holds covers hardly any sentence.
     """
     votes: dict[str, Counter] = {}
-    home: dict[str, int] = {}
+    home: dict[str, tuple[int, int]] = {}  # place in its first document, and that document
     filed: set[tuple[str, ...]] = set()
     for d, (code, text) in enumerate(rows):
         said = tuple(b for _, _, b in sentences(text))
-        for body in dict.fromkeys(said if said not in filed else ()):  # a copy has no vote of its own
+        for k, body in enumerate(dict.fromkeys(said if said not in filed else ())):  # a copy has no vote of its own
             if len(body) >= MIN_LETTERS:
                 votes.setdefault(body, Counter())[code] += 1
-                home.setdefault(body, d % JUDGES)
+                home.setdefault(body, (k, d))
         filed.add(said)
+    size = Counter(code for code, _ in rows)
     own: dict[str, list[str]] = {}
     firm: set[str] = set()
-    for body, v in votes.items():
-        (code, n), *others = v.most_common(2)
+    # All documents' first sentences come before any second one, so that a long mislabelled
+    # document weighs no more than a short one.
+    for body in sorted(votes, key=home.get):
+        (code, n), *others = votes[body].most_common(2)
         against = others[0][1] if others else 0
         if against < n:
             own.setdefault(code, []).append(body)
-        if n >= FIRM_VOTES and n >= 2 * against:
+        if n >= max(FIRM_VOTES, FIRM_SHARE * size[code]) and n >= 2 * against:
             firm.add(body)
 
-    def build(parts: dict[str, list[str]], chars: int, novel_first: bool) -> Model:
-        texts = {c: t for c, p in sorted(parts.items()) if (t := _chosen(p, chars, novel_first))}
+    def build(parts: dict[str, list[str]]) -> Model:
+        texts = {c: t for c, p in sorted(parts.items()) if (t := _chosen(p, JUDGE_CHARS, False))}
         return Model(list(texts), [Automaton(t) for t in texts.values()])
 
     judged = [(c, b) for c, p in own.items() for b in p if b not in firm]
     codes = sorted(own)
     costs = np.full((JUDGES, len(judged), len(codes)), np.nan)
     for h in range(JUDGES):
-        model = build({c: [b for b in p if home[b] == h] for c, p in own.items()}, JUDGE_CHARS, False)
-        at = [i for i, (_, b) in enumerate(judged) if home[b] != h]
+        model = build({c: [b for b in p if home[b][1] % JUDGES == h] for c, p in own.items()})
+        at = [i for i, (_, b) in enumerate(judged) if home[b][1] % JUDGES != h]
         if at and model.codes:
             costs[np.ix_([h], at, [codes.index(c) for c in model.codes])] = model.costs([judged[i][1] for i in at])
-    costs = np.where(np.isnan(costs).all(axis=0), 1e9, np.nanmedian(np.where(np.isnan(costs).all(axis=0), 1e9, costs), axis=0))
-    wrong = {b for (c, b), row in zip(judged, costs) if row[codes.index(c)] > row.min()}
-    clean = {c: [b for b in p if b not in wrong] or p for c, p in own.items()}
-    return build(clean, chars, True)
+    # Own cost against the best other language's, as the judges see it in the median.
+    costs = np.where(np.isnan(costs), np.inf, costs)
+    ratio: dict[str, float] = {}
+    for i, (c, b) in enumerate(judged):
+        seen = costs[[h for h in range(JUDGES) if home[b][1] % JUDGES != h], i]
+        own_cost, rest = seen[:, codes.index(c)], np.delete(seen, codes.index(c), axis=1)
+        others = rest.min(axis=1, initial=1e9)
+        ratio[b] = float(np.median(np.minimum(own_cost, 1e9) / np.maximum(others, 1e-9)))
+    unsafe, said_in = Counter(home[b][1] for b, r in ratio.items() if r > SAFE), Counter(home[b][1] for b in ratio)
+    # A document with many sentences of another language is no source of safe ones either.
+    safe = {b for b in votes if ratio.get(b, 0.0) <= SAFE and (b in firm or unsafe[home[b][1]] <= MOST_UNSAFE * said_in[home[b][1]])}
+    texts = {}
+    for c, p in sorted(own.items()):
+        text = _chosen([b for b in p if b in safe], chars, True)
+        if len(text) < chars:  # doubtful sentences only fill up a small sample
+            text = f"{text} {_chosen([b for b in p if b not in safe and ratio.get(b, 0.0) <= 1.0], chars - len(text), False)}".strip()
+        if text := text or _chosen(p, chars, True):
+            texts[c] = text
+    return Model(list(texts), [Automaton(t) for t in texts.values()])
 
 
 def sample_labelled(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
