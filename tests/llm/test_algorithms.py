@@ -160,3 +160,38 @@ def test_side_by_side_search_equals_numpy():
         for side, inclusive in (("left", False), ("right", True)):
             want = [off[i] + np.searchsorted(v[off[i] : off[i + 1]], x, side) for i in range(4)]
             assert percentiles._search(v, off[:-1], off[1:], np.full(4, x), inclusive).tolist() == want
+
+
+def test_rows_of_one_person_and_conversation_share_a_split(spark, tmp_path):
+    rng = random.Random(9)
+    known = [f"p{i:07d}" for i in range(40)]
+    label = lambda: rng.choice([*known, *known, "p0000999", "guest", None, " P-" + known[3][1:]])
+    tables = {
+        "speakers": ([(s, known[7] if s == known[5] else None) for s in known], "speaker_id string, same_as string"),
+        "utterances": ([(i, label()) for i in range(600)], "row_id long, speaker string"),
+        "turns": ([(i, rng.choice([f"c{i // 9}", None]), label()) for i in range(60)], "turn_id long, conv string, speaker string"),
+        "mixed": ([(i, rng.choice([f"p0000999-{known[20]}", f"{known[21]}+{known[22]}", known[23], None, "?"])) for i in range(40)], "mixed_id long, speaker_id string"),
+        "split_targets": ([("train", 0.6), ("test", 0.4)], "split_name string, share double"),
+    }
+    for n, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{n}.parquet")
+    got = splits.assign_splits(spark, str(tmp_path)).collect()
+    assert len(got) == len({(r["table_name"], r["row_id"]) for r in got}) == 700
+    split = {(r["table_name"], r["row_id"]): r["split"] for r in got}
+    by: dict = {}
+    number = lambda s: "".join(c for c in s or "" if c.isdigit())
+    for i, s in tables["utterances"][0]:
+        if number(s):
+            by.setdefault("p" + number(s).zfill(7), set()).add(split["utterances", i])
+    for i, c, s in tables["turns"][0]:
+        if c:
+            by.setdefault(c, set()).add(split["turns", i])
+        if number(s) and "p" + number(s).zfill(7) in known:
+            by.setdefault("p" + number(s).zfill(7), set()).add(split["turns", i])
+    for i, s in tables["mixed"][0]:
+        for k in known:
+            if s and k in s:
+                by.setdefault(k, set()).add(split["mixed", i])
+    assert by[known[5]] == by[known[7]] and by[known[21]] == by[known[22]]
+    assert all(len(v) == 1 for v in by.values())
+    assert {tuple(r) for r in splits.same_split_pairs(splits.speaker_forest(spark, str(tmp_path), Workspace(spark, "t"))).collect()} >= {(known[5], known[7]), (known[21], known[22])}

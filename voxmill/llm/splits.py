@@ -143,29 +143,29 @@ def deal(sizes: DataFrame, targets: list[tuple[str, float]], rows: int, seed: in
 def assign_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_name, row_id, split) for every row of utterances, turns and mixed.
 
-    A row follows its speaker's root; a turn without a known speaker follows its conversation, and
-    a conversation without any known speaker, or an unknown label, is a root of its own. Rows with
-    neither (null speaker and conversation) are roots of their own, one each. Every row comes out once.
+    An utterance follows its speaker's root, a mixed segment that of its known speakers, and a turn
+    that of its conversation. A label that names nobody known, and a conversation without a known
+    speaker, are roots of their own; so is each row that has neither. Every row comes out once.
     """
     ws = Workspace(spark, "splits")
     forest = speaker_forest(spark, sf_dir, ws)
-    utt = spark.read.parquet(f"{sf_dir}/utterances.parquet")
-    turns = spark.read.parquet(f"{sf_dir}/turns.parquet")
-    mixed = spark.read.parquet(f"{sf_dir}/mixed.parquet")
     known = forest.roots
-    conv = turns.select("conv", regular_speaker(F.col("speaker")).alias("node")).distinct().join(known, "node").groupBy("conv").agg(F.min("root").alias("conv_root"))
-    first = F.get(named_speakers(F.col("speaker_id")), F.lit(0))
-    labels = [
-        utt.select(F.lit("utterances").alias("table_name"), F.col("row_id"), regular_speaker(F.col("speaker")).alias("node"), F.lit(None).cast("string").alias("conv")),
-        turns.select(F.lit("turns").alias("table_name"), F.col("turn_id").alias("row_id"), regular_speaker(F.col("speaker")).alias("node"), "conv"),
-        mixed.select(F.lit("mixed").alias("table_name"), F.col("mixed_id").alias("row_id"), first.alias("node"), F.lit(None).cast("string").alias("conv")),
-    ]
-    rows = labels[0].unionByName(labels[1]).unionByName(labels[2])
-    own = F.concat_ws(" ", F.lit("row"), "table_name", F.col("row_id").cast("string"))
-    fall_back = F.coalesce(F.concat(F.lit("label "), F.col("node")), F.concat(F.lit("conv "), F.col("conv")), own)
-    # A hot speaker's rows join a side with one row per speaker; AQE splits its partition.
-    placed = rows.join(known, "node", "left").join(conv, "conv", "left")
-    placed = placed.select("table_name", "row_id", F.coalesce(F.when(F.col("conv").isNotNull(), F.col("conv_root")), F.col("root"), fall_back).alias("root"))
+    turns = spark.read.parquet(f"{sf_dir}/turns.parquet").select(F.col("turn_id").alias("row_id"), "conv", regular_speaker(F.col("speaker")).alias("node"))
+    mixed = spark.read.parquet(f"{sf_dir}/mixed.parquet").select(F.col("mixed_id").alias("row_id"), named_speakers(F.col("speaker_id")).alias("names"))
+    utt = spark.read.parquet(f"{sf_dir}/utterances.parquet").select("row_id", regular_speaker(F.col("speaker")).alias("node"))
+    own = lambda name: F.concat_ws(" ", F.lit("row"), F.lit(name), F.col("row_id").cast("string"))
+    label = F.concat(F.lit("label "), F.col("node"))
+
+    # A hot speaker's rows join a side with one row per speaker; AQE splits their partition.
+    u = utt.join(known, "node", "left").select("row_id", F.coalesce("root", label, own("utterances")).alias("root"))
+    of_conv = turns.select("conv", "node").filter("conv is not null").distinct().join(known, "node").groupBy("conv").agg(F.min("root").alias("conv_root"))
+    t = turns.join(of_conv, "conv", "left").join(known, "node", "left")
+    t = t.select("row_id", F.coalesce("conv_root", F.concat(F.lit("conv "), F.col("conv")), F.col("root"), label, own("turns")).alias("root"))
+    of_names = mixed.filter(F.size("names") > 0).select("names").distinct().withColumn("node", F.explode("names")).join(known, "node").groupBy("names").agg(F.min("root").alias("root"))
+    m = mixed.join(of_names, "names", "left")
+    m = m.select("row_id", F.coalesce("root", F.concat(F.lit("label "), F.get("names", F.lit(0))), own("mixed")).alias("root"))
+    parts = [d.select(F.lit(n).alias("table_name"), "row_id", "root") for n, d in (("utterances", u), ("turns", t), ("mixed", m))]
+    placed = parts[0].unionByName(parts[1]).unionByName(parts[2])
     placed = ws.save(placed, "placed")
     sizes = ws.save(placed.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     split = spark.read.parquet(f"{sf_dir}/split_targets.parquet").limit(MAX_SPLITS).collect()
