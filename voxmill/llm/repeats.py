@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxmill.llm import runs as layout
 from voxmill.llm.runs import pieces, runs, with_run_start
 from voxmill.llm.transcripts import clean_utterances
 from voxmill.runtime import Workspace
@@ -68,7 +69,7 @@ def repeat_runs(df: DataFrame) -> DataFrame:
     ends the run before it. ``duration_ms`` is null if no row of the run has both times.
     """
     ws = Workspace(df.sparkSession, "repeats")
-    e = ws.save(clean_utterances(df).withColumn("chunk", F.floor(F.col("idx") / 4096).cast("long")), "events")
+    e = ws.save(clean_utterances(df).withColumn("chunk", F.floor(F.col("idx") / layout.CHUNK).cast("long")), "events")
     said = e.select("file", "chunk", F.explode(F.split("words", " ")).alias("word"))
     counts = said.filter(F.col("word") != "").groupBy("word").agg(F.count("*").alias("n"))
     fix = ws.save(slips(counts), "slips")
