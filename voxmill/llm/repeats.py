@@ -66,7 +66,8 @@ def repeat_runs(df: DataFrame) -> DataFrame:
     Runs of one are included, so that the result covers every event once. Equal means the same
     participant (nobody is a participant) and the same spoken words in the same order in their
     usual spelling, or, without words, the same noise. A row with neither is a run of its own and
-    ends the run before it. ``duration_ms`` is null if no row of the run has both times.
+    ends the run before it. ``duration_ms`` is from the earliest known start to the
+    latest known end, at least 0; null if the run has no start or no end.
     """
     ws = Workspace(df.sparkSession, "repeats")
     e = ws.save(clean_utterances(df).withColumn("chunk", F.floor(F.col("idx") / layout.CHUNK).cast("long")), "events")
@@ -77,7 +78,8 @@ def repeat_runs(df: DataFrame) -> DataFrame:
     fixes = said.join(fix, "word").groupBy("file", "chunk").agg(F.collect_set(F.struct("word", "usual")).alias("fixes"))
     keyed = e.join(fixes, ["file", "chunk"], "left")
     r = runs(with_run_start(pieces(keyed, key=_keys)))
-    return r.withColumn("duration_ms", F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)))
+    span = F.col("end_ms") - F.col("start_ms")
+    return r.withColumn("duration_ms", F.when(span.isNotNull(), F.greatest(span, F.lit(0))))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
