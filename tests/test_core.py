@@ -14,6 +14,7 @@ from voxmill.functions import signal as S
 from voxmill.functions import text as X
 from voxmill.operators import audit, conversations, matching, packing, scene, stats
 from voxmill.operators.ordering import hashed_rank
+from voxmill.plans import reference_queries
 from voxmill.sources import text_files, wav
 from voxmill.streaming import compactor
 
@@ -262,6 +263,33 @@ def test_matching_uses_every_utterance_once(spark):
     assert {tuple(r) for r in got} == {tuple(r) for r in again}
 
 
+def test_matching_draws_targets_by_their_frequency(spark):
+    items = spark.createDataFrame([("s", i, 1) for i in range(3000)], "s string, i long, n int")
+    got = matching.match(items, {1: 900, 3: 99, 250: 1}, "s", "i", "n").groupBy("group_no").agg(F.first("target").alias("t")).groupBy("t").count().collect()
+    n = {r["t"]: r["count"] for r in got}
+    assert 6 * n[3] < n[1] < 14 * n[3]
+
+
+def test_matching_keeps_utterances_of_no_known_speaker_alone(spark):
+    rows = [(None, i, 2) for i in range(40)] + [("s", 100 + i, 2) for i in range(10)]
+    got = matching.match(spark.createDataFrame(rows, "s string, i long, n int"), {4: 1}, "s", "i", "n").collect()
+    assert sorted(r["item"] for r in got) == sorted(r[1] for r in rows)
+    alone = [r for r in got if r["speaker"] is None]
+    assert len({(r["part"], r["group_no"]) for r in alone}) == 40 and all(r["target"] is None for r in alone)
+
+
+def test_match_groups_aims_at_the_observed_turns(spark, tmp_path):
+    def tokens(n):
+        return ["w"] * n
+
+    calls = [("f", i, i, "AB"[i % 2], tokens(250 if i == 99 else 2)) for i in range(100)]
+    spark.createDataFrame(calls, "file string, row_id long, idx long, participant string, tokens array<string>").write.parquet(f"{tmp_path}/transcripts.parquet")
+    said = [("s", i, f"/s_{i}_mic1.flac", "a") for i in range(2000)]
+    spark.createDataFrame(said, "speaker string, row_id long, path string, text string").write.parquet(f"{tmp_path}/utterances.parquet")
+    targets = [r["target"] for r in reference_queries.match_groups(spark, str(tmp_path)).filter("pos = 0").collect()]
+    assert 250 in targets and targets.count(2) > 0.9 * len(targets)
+
+
 def test_conversations(spark):
     rng = random.Random(1)
     rows = [(s, 1000 * s + i, rng.uniform(2, 25)) for s in range(5) for i in range(30)]

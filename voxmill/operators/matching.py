@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 import random
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,64 +14,109 @@ from pyspark.sql import functions as F
 
 # Tolerance band around a target length, and tries per target.
 LOW, HIGH, TRIES = 0.8, 1.2, 20
-#: Utterances of one speaker that are grouped together.
-MAX_POOL = 20_000
+#: Buckets that the utterances of no known speaker are numbered in.
+BUCKETS = 1024
 
 
-def greedy(pool: list[tuple], target: float, rng: random.Random) -> list[int]:
-    """Positions drawn in random order while the length stays within the band, until its lower end is reached.
+class Pool:
+    """Numbers of items in the order of their lengths, with running counts: a draw among the items up to a length is a bisection."""
 
-    The order is drawn as it is needed, so a draw that ends early does not shuffle the whole pool.
+    def __init__(self, lengths: list[int]):
+        self.length = lengths
+        self.kinds = sorted(set(lengths))
+        self.kind = [bisect.bisect_left(self.kinds, n) for n in lengths]
+        self.items: list[list[int]] = [[] for _ in self.kinds]
+        self.at = []
+        for i, k in enumerate(self.kind):
+            self.at.append(len(self.items[k]))
+            self.items[k].append(i)
+        self.upto = [0, *itertools.accumulate(map(len, self.items))]
+
+    def fitting(self, length: float) -> int:
+        return self.upto[bisect.bisect_right(self.kinds, length)]
+
+    def item(self, r: int) -> int:
+        k = bisect.bisect_right(self.upto, r) - 1
+        return self.items[k][r - self.upto[k]]
+
+    def drop(self, gone: list[int]) -> None:
+        """Remove items; the last of the same length moves into an item's place."""
+        for i in gone:
+            own = self.items[self.kind[i]]
+            own[self.at[i]] = own[-1]
+            self.at[own[-1]] = self.at[i]
+            own.pop()
+        self.upto = [0, *itertools.accumulate(map(len, self.items))]
+
+
+def greedy(pool: Pool, target: float, rng: random.Random) -> list[int]:
+    """Items drawn in random order while the length stays within the band, until its lower end is reached.
+
+    An item that does not fit once never fits later, so going through a shuffled pool is the same
+    as drawing among the items that still fit. If none does, one item of the pool is drawn.
     """
-    moved: dict[int, int] = {}
-    got, total, n = [], 0, len(pool)
-    for k in range(n):
-        r = rng.randrange(k, n)
-        i = moved.get(r, r)
-        moved[r] = moved.get(k, k)
-        if total + pool[i][1] <= HIGH * target:
-            got.append(i)
-            total += pool[i][1]
-            if total >= LOW * target:
-                break
-    return got
-
-
-def match(utterances: DataFrame, targets: list[int], speaker: str, item: str, length: str, seed: int = 0, tries: int = TRIES) -> DataFrame:
+    got: dict[int, None] = {}
+    total, longest, least, most = 0, 0, LOW * target, math.floor(HIGH * target)
+    while total < least:
+        n = pool.fitting(most - total)
+        taken = len(got) if longest <= most - total else sum(pool.length[i] <= most - total for i in got)
+        if n == taken:
+            break
+        if 2 * taken < n:
+            while (i := pool.item(int(rng.random() * n))) in got:
+                pass
+        else:
+            i = rng.choice([j for r in range(n) if (j := pool.item(r)) not in got])
+        got[i] = None
+        total += pool.length[i]
+        longest = max(longest, pool.length[i])
+    return list(got) or [pool.item(int(rng.random() * pool.upto[-1]))]
+
+
+def match(utterances: DataFrame, targets: list[int] | dict[int, int], speaker: str, item: str, length: str, seed: int = 0, tries: int = TRIES) -> DataFrame:
     """(speaker, part, group_no, pos, item, length, target): every utterance in exactly one single-speaker group.
 
-    ``targets`` is a bounded sample of observed lengths; each draw takes one of them with
-    replacement. Per draw the best of ``tries`` shuffles counts: within the band before outside
-    it, then the nearer to the target, then the earlier. Utterances that no draw reached become
-    groups of one with a null target. Draws are made per speaker with keyed seeds, so the result
-    does not depend on the order of rows or on partitioning. Null or non-positive lengths are left out.
+    ``targets`` are the observed lengths, or how often each was observed; each draw takes one of
+    them by its frequency, with replacement. Per draw the best of ``tries`` shuffles counts: within
+    the band before outside it, then the nearer to the target, then the earlier. Without targets,
+    and where the speaker is null, so that nobody can say who belongs together, each utterance is
+    a group of one with a null target. Draws are made per speaker with keyed seeds, so the result
+    does not depend on the order of rows or on partitioning. Null or non-positive lengths are left
+    out. ``part`` numbers buckets of the null speaker and is 0 for all others.
     """
     kinds = dict(utterances.dtypes)
-    rank = F.row_number().over(Window.partitionBy(speaker).orderBy(item))
-    ready = utterances.filter(F.col(length) > 0).select(F.col(speaker).alias("speaker"), F.floor((rank - 1) / MAX_POOL).cast("int").alias("part"), F.col(item).alias("item"), F.col(length).cast("int").alias("length"))
+    counts = Counter(targets)
+    values = sorted(n for n, c in counts.items() if c > 0)
+    upto = list(itertools.accumulate(counts[n] for n in values))
+    ready = utterances.filter(F.col(length) > 0).select(F.col(speaker).alias("speaker"), F.col(item).alias("item"), F.col(length).cast("int").alias("length"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item", kind="stable")
-        who, part = pdf["speaker"].iat[0], int(pdf["part"].iat[0])
-        rng = random.Random(f"{seed}|{who}|{part}")
-        pool = list(zip(pdf["item"], pdf["length"]))
+        pdf = pdf.sort_values(["item", "length"], kind="stable")
+        who = pdf["speaker"].iat[0]
+        rng = random.Random(f"{seed}|{who}|0")
+        items = list(zip(pdf["item"], pdf["length"]))
         rows, g = [], 0
-        for _ in range(len(pool) if targets else 0):
-            if not pool:
-                break
-            target = rng.choice(targets)
+        pool = Pool(pdf["length"].tolist() if values else [])
+        while pool.upto[-1]:
+            target = rng.choices(values, cum_weights=upto)[0]
             best = None
             for _ in range(tries):
-                got = greedy(pool, target, rng) or [0]
-                total = sum(pool[i][1] for i in got)
+                got = greedy(pool, target, rng)
+                total = sum(pool.length[i] for i in got)
                 score = (not LOW * target <= total <= HIGH * target, abs(target - total))
                 if best is None or score < best[0]:
                     best = (score, got)
-            rows += [(who, part, g, k, *pool[i], target) for k, i in enumerate(best[1])]
-            out = set(best[1])
-            pool = [x for i, x in enumerate(pool) if i not in out]
+                if total == target:  # no later try is better
+                    break
+            pool.drop(best[1])
+            rows += [(who, 0, g, k, *items[i], target) for k, i in enumerate(best[1])]
             g += 1
-        rows += [(who, part, g + k, 0, *x, None) for k, x in enumerate(pool)]
+        if not values:
+            rows = [(who, 0, k, 0, *x, None) for k, x in enumerate(items)]
         return pd.DataFrame(rows, columns=["speaker", "part", "group_no", "pos", "item", "length", "target"]).astype({"target": "Int32"})
 
-    return ready.groupBy("speaker", "part").applyInPandas(run, f"speaker {kinds[speaker]}, part int, group_no int, pos int, item {kinds[item]}, length int, target int")
+    schema = f"speaker {kinds[speaker]}, part int, group_no int, pos int, item {kinds[item]}, length int, target int"
+    known = ready.filter("speaker is not null").groupBy("speaker").applyInPandas(run, schema)
+    alone = ready.filter("speaker is null").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(BUCKETS)).cast("int"))
+    alone = alone.withColumn("group_no", F.row_number().over(Window.partitionBy("part").orderBy("item", "length")) - 1)
+    return known.unionByName(alone.select("speaker", "part", "group_no", F.lit(0).alias("pos"), "item", "length", F.lit(None).cast("int").alias("target")))

@@ -104,10 +104,8 @@ def multispeaker_lengths(spark: SparkSession, callhome_dir: str, vctk_dir: str,
     words = F.size(X.clean_words(F.col("text")))
     _catalogue(spark, vctk_dir).filter("text is not null").select("name", "speaker", words.alias("n_words")).filter("n_words > 0").write.mode("overwrite").parquet(f"{data_dir}/corpus.parquet")
     corpus = spark.read.parquet(f"{data_dir}/corpus.parquet")
-    # A bounded sample of observed lengths: at most 10,000 distinct values, drawn by frequency.
-    counts = turns.groupBy("n_words").count().orderBy(F.desc("count"), "n_words").limit(10_000).collect()
-    total = sum(r["count"] for r in counts)
-    targets = [r["n_words"] for r in counts for _ in range(max(1, round(10_000 * r["count"] / total)))]
+    # One row per distinct length: their number is at most the root of twice the words.
+    targets = {r["n_words"]: r["n"] for r in turns.groupBy("n_words").agg(F.count("*").alias("n")).collect()}
     matching.match(corpus, targets, "speaker", "name", "n_words").write.mode("overwrite").parquet(f"{data_dir}/groups.parquet")
     lengths = spark.read.parquet(f"{data_dir}/groups.parquet").groupBy("speaker", "part", "group_no").agg(F.sum("length").alias("n")).select("n")
     stats.histograms({"calls": turns.select("n_words"), "corpus": corpus.select("n_words"), "matched": lengths}).write.mode("overwrite").parquet(f"{data_dir}/histogram.parquet")

@@ -178,9 +178,10 @@ def pack_utterances(spark, d):
 
 
 def match_groups(spark, d):
-    lengths = [r[0] for r in _turn_lengths(spark, d).select("n_words").groupBy("n_words").count().filter("n_words <= 200").orderBy("n_words").select("n_words").collect()]
+    # One row per distinct length: their number is at most the root of twice the words.
+    lengths = {r["n_words"]: r["n"] for r in _turn_lengths(spark, d).groupBy("n_words").agg(F.count("*").alias("n")).collect()}
     u = catalog.first_microphone(_t(spark, d, "utterances")).select("speaker", "row_id", F.size(X.clean_words(F.col("text"))).alias("n"))
-    return matching.match(u.filter("speaker is not null"), lengths, "speaker", "row_id", "n")
+    return matching.match(u, lengths, "speaker", "row_id", "n")
 
 
 def speaker_pairs(spark, d):
