@@ -76,3 +76,45 @@ def test_from_corpus_to_audit(spark, tmp_path, capsys):
     assert "18 checked, 0 failed" in capsys.readouterr().out
     jobs.office_level(spark, f"{tmp_path}/ev.wav", f"{tmp_path}/bg.wav", f"{tmp_path}/office.wav", FS)
     assert "level" in capsys.readouterr().out and (tmp_path / "office.wav").exists()
+
+
+def clips(root, seconds):
+    rng = np.random.default_rng(0)
+    for name, s in (("ev", 0.1), ("bg", 0.02)):
+        (root / f"{name}.wav").write_bytes(wav.encode_wav(rng.normal(0, s, (2, int(seconds * FS))), FS))
+    return f"{root}/ev.wav", f"{root}/bg.wav"
+
+
+def test_mix_takes_all_rates_and_microphones(spark, tmp_path):
+    at = tmp_path / "c" / jobs.AUDIO_DIR / "p1"
+    at.mkdir(parents=True)
+    (tmp_path / "c" / jobs.TEXT_DIR / "p1").mkdir(parents=True)
+    (tmp_path / "c" / jobs.TEXT_DIR / "p1" / "p1_001.txt").write_text("all here")
+    (tmp_path / "c" / jobs.TURNS_DIR / "p1").mkdir(parents=True)
+    (tmp_path / "c" / jobs.TURNS_DIR / "p1" / "p1_001.csv").write_text('speaker,text,timestamp,original_filename\np1,"one ""two""\nthree",10.000,a\np2,four,9.000,b\n')
+    for mic, rate in ((1, FS), (2, 2 * FS)):
+        (at / f"p1_001_mic{mic}.wav").write_bytes(wav.encode_wav(0.4 * np.sin(2 * math.pi * 200 * np.arange(2 * rate) / rate), rate))
+    jobs.mix(spark, *clips(tmp_path, 5), f"{tmp_path}/c", f"{tmp_path}/ds", FS, 2)
+    rows = spark.read.parquet(f"{tmp_path}/ds/mixed.parquet").filter("ebr = 'none'").collect()
+    got = {r["stem"]: np.array(r["channels"]) for r in rows}
+    assert set(got) == {"p1_001_mic1", "p1_001_mic2"} and all(x.shape == (2, 2 * FS) for x in got.values())
+    a, b = (x[0, FS // 2 : -FS // 2] for x in (got["p1_001_mic1"], got["p1_001_mic2"]))
+    assert np.abs(a - b).max() < 0.01 * np.abs(a).max()
+    turns = spark.read.parquet(f"{tmp_path}/ds/turns.parquet").collect()
+    assert len(turns) == 20 and {tuple(t["text"] for t in r["turns"]) for r in turns} == {("four", 'one "two"\nthree')}
+
+
+def test_mix_reads_what_the_earlier_jobs_write(spark, tmp_path):
+    corpus(tmp_path / "c")
+    c = str(tmp_path / "c")
+    jobs.monospeaker_reformat(spark, c, f"{tmp_path}/packed")
+    jobs.multispeaker_conversations(spark, c, f"{tmp_path}/conv")
+    ev, bg = clips(tmp_path, 61)
+    for made in ("packed", "conv"):
+        jobs.mix(spark, ev, bg, f"{tmp_path}/{made}", f"{tmp_path}/ds-{made}", FS)
+        n = len(list((tmp_path / made / jobs.AUDIO_DIR).rglob("*.wav")))
+        assert n and spark.read.parquet(f"{tmp_path}/ds-{made}/mixed.parquet").count() == 10 * n
+        said = spark.read.parquet(f"{tmp_path}/ds-{made}/transc.parquet").collect()
+        assert len(said) == n and all("words number" in r["text"] for r in said)
+    turns = spark.read.parquet(f"{tmp_path}/ds-conv/turns.parquet").collect()
+    assert len(turns) == 10 * n and all({t["speaker"] for t in r["turns"]} == {"p1", "p2"} for r in turns)

@@ -14,6 +14,8 @@ from voxmill.functions.signal import FLOOR, sections
 
 #: Seconds of silence behind a signal, for the slow poles of the weighting filter to die away.
 TAIL_S = 40.0
+#: Samples that are resampled at a time.
+BLOCK = 1 << 14
 
 
 @lru_cache(maxsize=16)
@@ -140,11 +142,13 @@ def resampled(x: np.ndarray, fs: int, to: int, taps: int = 32) -> np.ndarray:
     n = int(math.ceil(x.shape[-1] * to / fs))
     cut = min(1.0, to / fs)
     half = int(taps / cut)
-    t = np.arange(n) * fs / to
-    base = np.floor(t).astype(int)
     reach = np.arange(-half + 1, half + 1)
-    at = base[:, None] + reach[None, :]
-    d = t[:, None] - at
-    w = cut * np.sinc(cut * d) * np.where(np.abs(d) < half, 0.5 + 0.5 * np.cos(np.pi * d / half), 0)
-    padded = np.take(x, np.clip(at, 0, x.shape[-1] - 1), axis=-1) * ((at >= 0) & (at < x.shape[-1]))
-    return (padded * w).sum(-1)
+    out = np.empty((*x.shape[:-1], n))
+    for start in range(0, n, BLOCK):  # the weights of one block at a time; a minute's would take gigabytes
+        t = np.arange(start, min(n, start + BLOCK)) * fs / to
+        at = np.floor(t).astype(int)[:, None] + reach[None, :]
+        d = t[:, None] - at
+        w = cut * np.sinc(cut * d) * np.where(np.abs(d) < half, 0.5 + 0.5 * np.cos(np.pi * d / half), 0)
+        padded = np.take(x, np.clip(at, 0, x.shape[-1] - 1), axis=-1) * ((at >= 0) & (at < x.shape[-1]))
+        out[..., start : start + BLOCK] = (padded * w).sum(-1)
+    return out

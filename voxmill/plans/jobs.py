@@ -1,31 +1,68 @@
 """The command line's jobs. A corpus is a folder with ``wav48_silence_trimmed/<speaker>/*_mic1.wav`` and
-``txt/<speaker>/*.txt``; folders must be visible to all executors. Audio is joined to the packed
+``txt/<speaker>/*.txt``, or the tables ``txt.parquet`` and ``turns.csv`` that the jobs themselves
+write beside the audio; folders must be visible to all executors. Audio is joined to the packed
 metadata last and only one output segment at a time is held in a task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.functions import text as X
 from voxmill.operators import audit, conversations, matching, packing, scene, stats
+from voxmill.runtime import exists
 from voxmill.sources import text_files, wav
 
-AUDIO_DIR, TEXT_DIR, FADE_S, GAP_S = "wav48_silence_trimmed", "txt", 0.01, 0.1
+AUDIO_DIR, TEXT_DIR, TURNS_DIR, FADE_S, GAP_S = "wav48_silence_trimmed", "txt", "turns", 0.01, 0.1
+TURN = ["speaker", "text", "timestamp", "original_filename"]
 ASSEMBLED = "name string, sr int, channels array<array<double>>, transcript string, turns array<struct<speaker:string,text:string,timestamp:string,original_filename:string>>"
 
 
-def _catalogue(spark: SparkSession, root: str, samples: bool = False) -> DataFrame:
+def _key(name: Column) -> Column:
+    """``speaker_utterance`` of a file's or segment's name, whatever its folder, microphone and extension."""
+    base = X.stem(name)
+    return F.concat_ws("_", X.speaker_of(base), X.utterance_of(base))
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    """(key, text) of a corpus: text files, the table that a job wrote, or both; files come first."""
+    found = []
+    if exists(spark, f"{root}/{TEXT_DIR}"):
+        found.append(text_files.read_texts(spark, f"{root}/{TEXT_DIR}").select(X.stem(F.col("path")).alias("key"), "text", F.lit(0).alias("_from")))
+    if exists(spark, f"{root}/{TEXT_DIR}.parquet"):
+        found.append(spark.read.parquet(f"{root}/{TEXT_DIR}.parquet").select(_key(F.col("name")).alias("key"), F.col("transcript").alias("text"), F.lit(1).alias("_from")))
+    if not found:
+        raise RuntimeError(f"no transcripts below {root}")
+    return reduce(DataFrame.unionByName, found).groupBy("key").agg(F.min_by("text", "_from").alias("text"))
+
+
+def _turns(spark: SparkSession, root: str) -> DataFrame | None:
+    """(key, turns) of a corpus: the table that a job wrote, and files ``turns/<speaker>/<key>.csv``; None without either."""
+    csv = lambda at: spark.read.options(header=True, multiLine=True, escape='"', recursiveFileLookup=True, pathGlobFilter="*.csv").csv(at)
+    found = []
+    if exists(spark, f"{root}/{TURNS_DIR}"):
+        found.append(csv(f"{root}/{TURNS_DIR}").select(X.stem(F.input_file_name()).alias("key"), *TURN))
+    if exists(spark, f"{root}/{TURNS_DIR}.csv"):
+        found.append(csv(f"{root}/{TURNS_DIR}.csv").select(_key(F.col("name")).alias("key"), *TURN))
+    if not found:
+        return None
+    # The turns of one file are one record; a file is at most a minute long.
+    line = F.struct(F.col("timestamp").try_cast("double").alias("at"), *TURN)
+    rows = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.sort_array(F.collect_list(line)).alias("turns"))
+    return rows.select("key", F.transform("turns", lambda t: F.struct(*[t[c].alias(c) for c in TURN])).alias("turns"))
+
+
+def _catalogue(spark: SparkSession, root: str, samples: bool = False, glob: str = "*_mic1.wav") -> DataFrame:
     """(path, name, speaker, utt, sr, duration[, samples], text) of the first microphone's files; text may be null."""
-    a = wav.read_audio(spark, f"{root}/{AUDIO_DIR}", "*_mic1.wav", samples).filter("error is null")
+    a = wav.read_audio(spark, f"{root}/{AUDIO_DIR}", glob, samples).filter("error is null")
     name = X.base_name(F.col("path"))
-    a = a.select("path", name.alias("name"), X.speaker_of(name).alias("speaker"), X.utterance_of(name).alias("utt"), "sr", "duration", "channels")
-    t = text_files.read_texts(spark, f"{root}/{TEXT_DIR}")
-    t = t.select(X.stem(F.col("path")).alias("key"), "text")
-    return a.join(t, F.concat_ws("_", "speaker", "utt") == F.col("key"), "left").drop("key")
+    a = a.select("path", name.alias("name"), X.speaker_of(name).alias("speaker"), F.split_part(X.stem(name), F.lit("_"), F.lit(2)).alias("utt"), "sr", "duration", "channels")
+    return a.join(_texts(spark, root), F.concat_ws("_", "speaker", "utt") == F.col("key"), "left").drop("key")
 
 
 def _assemble(plan: DataFrame, audio: DataFrame, gap: float, pad_to: float | None, level: float | None, fade: float) -> DataFrame:
@@ -75,7 +112,7 @@ def _write(out: DataFrame, root: str, turns: bool = False) -> None:
     wav.write_wav(kept.withColumn("name", F.concat(F.lit(f"{AUDIO_DIR}/"), "name", F.lit(".wav"))), root).write.format("noop").mode("overwrite").save()
     kept.select("name", "transcript").write.mode("overwrite").parquet(f"{root}/{TEXT_DIR}.parquet")
     if turns:
-        kept.select("name", F.explode("turns").alias("t")).select("name", "t.*").write.mode("overwrite").option("header", True).csv(f"{root}/turns.csv")
+        kept.select("name", F.explode("turns").alias("t")).select("name", "t.*").write.mode("overwrite").options(header=True, escape='"').csv(f"{root}/{TURNS_DIR}.csv")
     ws.drop(kept)
 
 
@@ -146,15 +183,37 @@ def _clip(spark: SparkSession, path: str, sr: int) -> np.ndarray:
     return kernels.resampled(x, r[0]["sr"], sr)
 
 
+SPEECH = "stem string, speaker_id string, samples array<double>"
+
+
 def mix(spark: SparkSession, events_path: str, background_path: str, vctk_path: str, out_dataset_path: str, sr: int = 48000, segment_duration: float = 60) -> None:
-    """Segments of half to the whole duration in ten conditions, partitioned by condition, pan and speaker."""
-    cat = _catalogue(spark, vctk_path, True).filter(F.col("duration").between(int(0.5 * segment_duration), segment_duration) & (F.col("sr") == sr) & F.col("text").isNotNull())
-    from voxmill.functions import signal as S
+    """Segments of half to the whole duration in ten conditions, partitioned by condition, pan and speaker.
+
+    Files of all microphones and sampling rates that have a transcript; speech is averaged over its
+    channels and resampled to ``sr``. Turns, where a file has any, are written per condition.
+    """
+    def at_rate(batches):
+        from voxmill.functions import kernels
+
+        for b in batches:
+            for stem, who, rate, ch in zip(b["stem"], b["speaker_id"], b["sr"], b["channels"]):
+                x = kernels.resampled(np.stack([np.asarray(c, float) for c in ch]).mean(axis=0), int(rate), sr)
+                yield pd.DataFrame({"stem": [stem], "speaker_id": [who], "samples": [x[: int(segment_duration * sr)].tolist()]})
+
+    def chosen(samples: bool) -> DataFrame:
+        c = _catalogue(spark, vctk_path, samples, "*.wav").filter(F.col("duration").between(int(0.5 * segment_duration), segment_duration) & F.col("text").isNotNull())
+        return c.withColumn("stem", X.stem(F.col("path"))).withColumnRenamed("speaker", "speaker_id")
 
-    seg = cat.select(X.stem(F.col("path")).alias("stem"), F.col("speaker").alias("speaker_id"), S.mono(F.col("channels")).alias("samples"))
+    seg = chosen(True).select("stem", "speaker_id", "sr", "channels").mapInPandas(at_rate, SPEECH)
     out = scene.render(seg, _clip(spark, events_path, sr), _clip(spark, background_path, sr), sr, segment_duration)
-    out.withColumn("pan", (F.col("pan") * 100).cast("int")).write.mode("overwrite").partitionBy("ebr", "sar", "pan", "speaker_id").parquet(f"{out_dataset_path}/mixed.parquet")
-    cat.select(X.stem(F.col("path")).alias("stem"), "text").dropDuplicates(["stem"]).write.mode("overwrite").parquet(f"{out_dataset_path}/transc.parquet")
+    by = ["ebr", "sar", "pan", "speaker_id"]
+    out.withColumn("pan", (F.col("pan") * 100).cast("int")).write.mode("overwrite").partitionBy(*by).parquet(f"{out_dataset_path}/mixed.parquet")
+    cat = chosen(False).select("stem", "speaker_id", _key(F.col("path")).alias("key"), "text")
+    cat.select("stem", "text").dropDuplicates(["stem"]).write.mode("overwrite").parquet(f"{out_dataset_path}/transc.parquet")
+    turns = _turns(spark, vctk_path)
+    if turns is not None:
+        mirrored = scene.with_conditions(cat.join(turns, "key").select("stem", "speaker_id", F.lit(0).alias("pan"), "turns"))
+        mirrored.select("stem", *by, "turns").write.mode("overwrite").partitionBy(*by).parquet(f"{out_dataset_path}/turns.parquet")
 
 
 ACTIVITY = "stem string, activity array<int>"
