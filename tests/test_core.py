@@ -244,6 +244,57 @@ def test_first_fit_invariants(durations):
         assert b == sorted(b) and sum(durations[i] for i in b) + 0.1 * (len(b) - 1) <= 60 + 1e-6
 
 
+def scanned_first_fit(durations):
+    left, out = list(range(len(durations))), []
+    while left:
+        length, taken, skipped = 0.0, [], []
+        for i in left:
+            if length + (durations[i] + 0.1 if taken else durations[i]) <= 60:
+                length = (length + 0.1 if taken else length) + durations[i]
+                taken.append(i)
+            else:
+                skipped.append(i)
+        if not taken:
+            taken, skipped = [left[0]], left[1:]
+        out.append(taken)
+        left = skipped
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.floats(0.1, 70), st.sampled_from([0.1, 14.9, 19.9, 29.95, 59.9, 60.0])), max_size=80))
+def test_first_fit_equals_the_plain_scan(durations):
+    assert packing.first_fit(durations) == scanned_first_fit(durations)
+
+
+def test_a_large_pool_is_packed_as_one(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_POOL", 7, raising=False)
+    rng = random.Random(2)
+    d = [rng.uniform(1, 44) for _ in range(100)]
+    got = packing.pack(spark.createDataFrame([("a", i, x) for i, x in enumerate(d)], "s string, i long, d double"), "s", "i", "d").collect()
+    bufs = {}
+    for r in sorted(got, key=lambda r: (r["pool"], r["buf"], r["pos"])):
+        bufs.setdefault((r["pool"], r["buf"]), []).append(r["item"])
+    assert list(bufs.values()) == scanned_first_fit(d)
+
+
+def test_conversations_use_the_whole_larger_pool(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "MAX_POOL", 20, raising=False)
+    rows = [("a", i, 10.0) for i in range(60)] + [("b", 100 + i, 10.0) for i in range(20)]
+    items = spark.createDataFrame(rows, "s string, i long, d double")
+    got = conversations.build(items, conversations.speaker_pairs(items, "s"), "s", "i", "d").collect()
+    assert max(r["item"] for r in got if r["speaker"] == "a") >= 20
+    assert len({r["item"] for r in got}) == len(got)
+
+
+def test_dropping_from_a_pool():
+    p = conversations.Pool([("a", i % 7, float(i)) for i in range(20)])
+    for i in (6, 0, 3, 9):
+        p.drop(i)
+    assert sorted(x[2] for x in p.items) == [float(i) for i in range(20) if i % 7 not in (6, 0, 3)]
+    assert all(p.items[k][1] == i for i, at in p.at.items() for k in at) and sum(map(len, p.at.values())) == len(p.items)
+
+
 def test_pack_frame(spark):
     rows = [("a", i, d) for i, d in enumerate([20.0, 20.0, 19.7, 44.0, 45.0, None, math.nan, 0.0, 30.0])]
     got = packing.pack(spark.createDataFrame(rows, "s string, i long, d double"), "s", "i", "d").collect()

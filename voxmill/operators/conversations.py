@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 # Band of a conversation's length, gap, longest turn (seconds), and attempts.
 LEAST_S, MOST_S, GAP_S, MAX_TURN_S, ATTEMPTS = 48.0, 60.0, 0.5, 20.0, 1000
-#: Items of one speaker that a pair works through together.
-MAX_POOL = 20_000
 
 
 def speaker_pairs(speakers: DataFrame, col: str) -> DataFrame:
@@ -47,13 +45,31 @@ def first_attempt(items: DataFrame, pairs: DataFrame, speaker: str, item: str, d
     return hit.select("pair_no", (F.col("last") + 1).alias("n_turns"), "total_s", (F.col("total_s") <= MOST_S).alias("valid"))
 
 
+class Pool:
+    """(speaker, item, duration) tuples from which an item, with all its copies, is removed without moving the rest."""
+
+    def __init__(self, items: list[tuple]):
+        self.items = items
+        self.at: dict = {}
+        for k, x in enumerate(items):
+            self.at.setdefault(x[1], set()).add(k)
+
+    def drop(self, item) -> None:
+        for k in sorted(self.at.pop(item, ()), reverse=True):
+            last = self.items.pop()
+            if k < len(self.items):
+                self.items[k] = last
+                self.at[last[1]].discard(len(self.items))
+                self.at[last[1]].add(k)
+
+
 def build(items: DataFrame, pairs: DataFrame, speaker: str, item: str, duration: str, seed: int = 0, attempts: int = ATTEMPTS) -> DataFrame:
     """All conversations of all pairs: (pair_no, conv, turn, speaker, item, start_s, dur, total_s).
 
     Per pair, attempts with seeded orders go on until one is valid; its items leave the pools, and
     the pair ends when an attempt budget is used up or a pool is empty. ``conv`` counts within the
-    pair; numbers over all pairs are a rank by (pair_no, conv). A speaker's pool larger than
-    MAX_POOL is worked through in parts.
+    pair; numbers over all pairs are a rank by (pair_no, conv). A pair works through its whole
+    pools, so ``part`` is 0 throughout.
     """
     import random
 
@@ -61,17 +77,16 @@ def build(items: DataFrame, pairs: DataFrame, speaker: str, item: str, duration:
     pool = items.filter((F.col(duration) > 0) & (F.col(duration) <= MAX_TURN_S)).select(F.col(speaker).alias("s"), F.col(item).alias("i"), F.col(duration).cast("double").alias("d"))
     side = pairs.select("pair_no", F.explode(F.array(F.struct(F.col("a").alias("s"), F.lit(0).alias("side")), F.struct(F.col("b").alias("s"), F.lit(1).alias("side")))).alias("x")).select("pair_no", "x.s", "x.side")
     t = pool.join(side, "s")
-    part = F.floor((F.row_number().over(Window.partitionBy("pair_no", "side").orderBy("i")) - 1) / MAX_POOL).cast("int")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", kind="stable")
-        pair, chunk = int(pdf["pair_no"].iat[0]), int(pdf["part"].iat[0])
-        pools = [list(zip(g["s"], g["i"], g["d"])) for g in (pdf[pdf["side"] == k] for k in (0, 1))]
+        pair, chunk = int(pdf["pair_no"].iat[0]), 0
+        pools = [Pool(list(zip(g["s"], g["i"], g["d"]))) for g in (pdf[pdf["side"] == k] for k in (0, 1))]
         rng = random.Random(f"{seed}|{pair}|{chunk}")
         rows, conv = [], 0
-        while pools[0] and pools[1]:
+        while pools[0].items and pools[1].items:
             for _ in range(attempts):
-                order = [rng.sample(p, min(len(p), int(MOST_S / GAP_S) + 2)) for p in pools]  # no more turns than gaps fit
+                order = [rng.sample(p.items, min(len(p.items), int(MOST_S / GAP_S) + 2)) for p in pools]  # no more turns than gaps fit
                 turns, total = [], 0.0
                 while len(turns) // 2 < len(order[len(turns) % 2]):
                     nxt = order[len(turns) % 2][len(turns) // 2]
@@ -87,13 +102,14 @@ def build(items: DataFrame, pairs: DataFrame, speaker: str, item: str, duration:
             else:
                 break
             rows += [(pair, chunk, conv, n, x[0], x[1], start, x[2], total) for n, (x, start) in enumerate(turns)]
-            used = {x[1] for x, _ in turns}
-            pools = [[x for x in p if x[1] not in used] for p in pools]
+            for i in dict.fromkeys(x[1] for x, _ in turns):
+                for p in pools:
+                    p.drop(i)
             conv += 1
         return pd.DataFrame(rows, columns=["pair_no", "part", "conv", "turn", "speaker", "item", "start_s", "dur", "total_s"])
 
     schema = f"pair_no long, part int, conv int, turn int, speaker {kinds[speaker]}, item {kinds[item]}, start_s double, dur double, total_s double"
-    return t.withColumn("part", part).groupBy("pair_no", "part").applyInPandas(run, schema)
+    return t.groupBy("pair_no").applyInPandas(run, schema)
 
 
 def timeline(turns: DataFrame, conv: list[str], order: str, duration: str) -> DataFrame:

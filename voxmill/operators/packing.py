@@ -2,33 +2,68 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Segment cap and floor, and the gap between items, in seconds.
 CAP_S, FLOOR_S, GAP_S = 60.0, 45.0, 0.1
-#: Items of one speaker that are packed together; a larger pool is packed in parts of this size.
-MAX_POOL = 50_000
 
 PACKED = "speaker {s}, pool int, buf int, pos int, item {i}, offset_s double, dur double, buf_len double, kept boolean"
 
 
 def first_fit(durations: list[float], cap: float = CAP_S, gap: float = GAP_S) -> list[list[int]]:
-    """Buffers of item numbers: one buffer is open at a time, a pass scans what is left in order and skips what does not fit."""
-    left, out = list(range(len(durations))), []
+    """Buffers of item numbers: one buffer is open at a time, a pass scans what is left in order and skips what does not fit.
+
+    A tree over the items' order holds the least duration that is left below each node, so the next
+    item that fits is found in O(log n), whatever the number of items that a pass skips.
+    """
+    n = len(durations)
+    size = 1 << max(0, n - 1).bit_length()
+    least = [math.inf] * size + list(durations) + [math.inf] * (size - n)
+    for k in range(size - 1, 0, -1):
+        least[k] = min(least[2 * k], least[2 * k + 1])
+    out, left, first = [], n, 0
+
+    def remove(i: int) -> None:
+        k = size + i
+        least[k] = math.inf
+        while k := k >> 1:
+            least[k] = min(least[2 * k], least[2 * k + 1])
+
+    def following(start: int, length: float, more: float) -> int | None:
+        """First item left from ``start`` on that keeps the length within the cap."""
+        k = size + start
+        if start >= size:
+            return None
+        while length + (least[k] + more) > cap:
+            while k & 1:  # up to the first ancestor that has a right neighbour
+                k >>= 1
+                if not k:
+                    return None
+            k += 1
+        while k < size:
+            k *= 2
+            if length + (least[k] + more) > cap:
+                k += 1
+        return k - size
+
     while left:
-        length, taken, skipped = 0.0, [], []
-        for i in left:
-            if length + (durations[i] + gap if taken else durations[i]) <= cap:
-                length = (length + gap if taken else length) + durations[i]
-                taken.append(i)
-            else:
-                skipped.append(i)
+        length, taken, at = 0.0, [], 0
+        while (i := following(at, length, gap if taken else 0.0)) is not None:
+            length = (length + gap if taken else length) + durations[i]
+            taken.append(i)
+            remove(i)
+            at = i + 1
         if not taken:  # only an item above the cap can be alone; it makes a buffer of its own
-            taken, skipped = [left[0]], left[1:]
+            while least[size + first] == math.inf:
+                first += 1
+            taken = [first]
+            remove(first)
         out.append(taken)
-        left = skipped
+        left -= len(taken)
     return out
 
 
@@ -36,13 +71,14 @@ def pack(items: DataFrame, speaker: str, item: str, duration: str, order: list[s
     """Pack each speaker's items shorter than the floor, in ``order`` (by item): one row per item.
 
     ``kept`` is false for the buffers that stay below the floor. Null and non-positive durations
-    and NaN are left out; longer items bypass packing. The audio itself is joined later.
+    and NaN are left out; longer items bypass packing. The audio itself is joined later. A speaker
+    is one pool of any size, so ``pool`` is 0 throughout.
     """
     kind = dict(items.dtypes)
     short = items.filter((F.col(duration) > 0) & (F.col(duration) < FLOOR_S) & ~F.isnan(duration))
     by = [F.col(c) for c in (order or [item])]
     rank = F.row_number().over(Window.partitionBy(speaker).orderBy(*by))
-    ready = short.select(F.col(speaker).alias("speaker"), F.floor((rank - 1) / MAX_POOL).cast("int").alias("pool"), rank.alias("_rank"), F.col(item).alias("item"), F.col(duration).cast("double").alias("dur"))
+    ready = short.select(F.col(speaker).alias("speaker"), F.lit(0).alias("pool"), rank.alias("_rank"), F.col(item).alias("item"), F.col(duration).cast("double").alias("dur"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rank")
