@@ -127,6 +127,24 @@ def test_a_retried_batch_replaces_its_output(spark, tmp_path):
     assert c.records.count() == want == 50 and c.members.count() == 50
 
 
+def test_content_in_a_later_batch_replaces_a_stored_null(spark, tmp_path):
+    import shutil
+
+    src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    stored = lambda c: sorted((r["file_key"], r["file_id"], r["content"]) for r in c.records.collect())
+    listing(spark, src, [(1, "/a", None, None), (2, "/b", None, "b"), (3, "/c", None, None)])
+    assert [r[1] for r in stored(compactor.compact(spark, src, out))] == [1, 2, 3]
+    listing(spark, src, [(4, "/a", None, "a"), (5, "/a", None, "a"), (6, "/b", None, "other"), (7, "/c", None, None)])
+    want = [("a:/a", 4, "a"), ("a:/b", 2, "b"), ("a:/c", 3, None)]
+    assert stored(compactor.compact(spark, src, out)) == want
+    shutil.rmtree(tmp_path / "out" / "checkpoint" / "commits")  # the last batch runs again
+    assert stored(compactor.compact(spark, src, out)) == want
+    listing(spark, src, [(8, "/a", None, "late"), (9, "/c", None, "c"), (10, "/b", None, None)])
+    c = compactor.compact(spark, src, out)
+    assert stored(c) == [*want[:2], ("a:/c", 9, "c")] and c.members.count() == 10
+    assert set(c.members.columns) == {"file_id", "file_key", "batch"}
+
+
 def test_compaction_of_an_empty_listing(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     listing(spark, src, [])

@@ -42,7 +42,9 @@ def compact(
 
     The stream's checkpoint lists each input file once. Every micro-batch writes under its batch
     number with overwrite, so a retried batch replaces its own output and nothing else. A
-    recording that an earlier batch has stored is not stored again; within a batch the row with
+    recording that an earlier batch has stored is not stored again, unless it was stored without
+    content and a row of this batch has it: that row is stored, and its key is noted under
+    ``replaced``, so that ``records`` leaves out the earlier row. Within a batch the row with
     content and the smallest id wins. Rows without any path can't be matched with others: each is
     a recording of its own. Calling again after new files arrived continues from the checkpoint.
 
@@ -66,19 +68,26 @@ def compact(
     size = F.greatest(F.octet_length("content"), F.lit(0)) if "content" in schema.names else F.lit(0)
     keyed = keyed.withColumn("stored_bytes", (F.coalesce(size, F.lit(0)) + F.lit(64)).cast("long"))
     records_schema = keyed.withColumn("batch", F.lit(0)).schema
-    members_schema = keyed.select(id_col, "file_key", F.lit(0).alias("batch")).schema
+    filled = F.col("content").isNotNull() if "content" in schema.names else F.lit(True)
+    listed = keyed.select(id_col, "file_key", filled.alias("filled"), F.lit(0).alias("batch"))
+    members_schema = listed.drop("filled").schema
+    replaced_schema = listed.select("file_key", "batch").schema
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             total = batch.agg(F.sum("stored_bytes")).first()[0] or 0
             parts = max(1, -(-int(total) // target_bytes))
-            batch.select(id_col, "file_key").repartition(parts).write.mode("overwrite").parquet(f"{out}/members/batch={number}")
+            batch.select(id_col, "file_key", filled.alias("filled")).repartition(parts).write.mode("overwrite").parquet(f"{out}/members/batch={number}")
             best = Window.partitionBy("file_key").orderBy(*([F.col("content").isNull()] if "content" in schema.names else []), F.col(id_col).asc_nulls_last())
             fresh = batch.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
             if number > 0:
-                before = spark.read.schema(members_schema).option("basePath", f"{out}/members").parquet(f"{out}/members").filter(F.col("batch") < number)
-                fresh = fresh.join(before.select("file_key"), "file_key", "left_anti")
+                before = spark.read.schema(listed.schema).option("basePath", f"{out}/members").parquet(f"{out}/members").filter(F.col("batch") < number)
+                before = before.groupBy("file_key").agg(F.max(F.coalesce("filled", F.lit(False))).alias("_filled"))
+                fresh = fresh.join(before, "file_key", "left").filter(F.col("_filled").isNull() | (filled & ~F.col("_filled")))
+                again = fresh.filter("_filled is not null").select("file_key")
+                again.coalesce(1).write.mode("overwrite").parquet(f"{out}/replaced/batch={number}")
+                fresh = fresh.drop("_filled").select(batch.columns)
             # A range layout keeps neighbouring recordings in one file and splits a hot folder.
             laid = fresh.repartitionByRange(parts, "file_key").sortWithinPartitions("file_key") if parts > 1 else fresh.coalesce(1)
             laid.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
@@ -87,7 +96,12 @@ def compact(
 
     query = keyed.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return Compacted(_read(spark, f"{out}/records", records_schema), _read(spark, f"{out}/members", members_schema))
+    records = _read(spark, f"{out}/records", records_schema)
+    replaced = _read(spark, f"{out}/replaced", replaced_schema).withColumnRenamed("batch", "_by")
+    if replaced.head(1):
+        # A key is replaced at most once, by the first later row that has content.
+        records = records.join(replaced, "file_key", "left").filter(F.col("_by").isNull() | (F.col("batch") >= F.col("_by"))).select(records.columns)
+    return Compacted(records, _read(spark, f"{out}/members", members_schema))
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
