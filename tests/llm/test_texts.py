@@ -206,3 +206,25 @@ def test_segments_frame(spark, model):
     got = {r["doc_id"]: (r["label"], r["lang"]) for r in langid.segments(df, model).collect()}
     assert got == {1: ("en", "de"), 2: (None, None), 3: ("de", None), 4: (None, "fr")}
     assert langid.segments(df.limit(0)).count() == 0
+
+
+def test_binding_limits_hold_and_no_item_is_lost_or_repeated(spark):
+    rows = [(i, 40 + i % 30, (40 + i % 30) * (i % 3) // 2) for i in range(60)] + [(900, 100, 10)] * 3 + [(None, 100, 0), (None, 30, 30), (2**60 + 1, 250, 250)]
+    sized = spark.createDataFrame([(i, n, min(n, k)) for i, n, k in rows], "doc_id long, tokens long, loss_tokens long")
+    kinds = spark.createDataFrame([("c", 100)], "container string, capacity_tokens long")
+    got = containers.fill(sized, kinds, tokens_per_segment=40, loss_share=0.5).collect()
+    bins, docs = {}, {}
+    for r in got:
+        b = bins.setdefault(r["bin"], [0, 0, 0])
+        for k, v in enumerate((r["tokens"], 1, r["loss_tokens"])):
+            b[k] += v
+        d = docs.setdefault(r["doc_id"], [0, 0])
+        d[0] += r["tokens"]
+        d[1] += r["loss_tokens"]
+    assert all(t <= 100 and n <= 2 and k <= 50 for t, n, k in bins.values())
+    want = {}
+    for i, n, k in rows:
+        w = want.setdefault(i, [0, 0])
+        w[0] += n
+        w[1] += min(n, k)
+    assert docs == want

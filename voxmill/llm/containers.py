@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm.tokens import with_tokens
@@ -21,7 +21,7 @@ SHARD_CONTAINERS, SHARD_ITEMS, ROUNDS, FULL = 64, 16_384, 3, 0.995
 #: Tokens per segment that the limit of segments allows for, and the share of tokens that may bear loss.
 TOKENS_PER_SEGMENT, LOSS_SHARE = 8, 1.0
 
-PACKED = "container string, doc_id long, piece int, tokens long, loss_tokens long, bin string"
+PACKED = "container string, doc_id long, piece int, n_pieces int, unnamed boolean, tokens long, loss_tokens long, bin string"
 
 
 def pack(demand: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -56,20 +56,28 @@ def pack(demand: np.ndarray, limit: np.ndarray) -> np.ndarray:
     return out
 
 
-def items(sized: DataFrame, containers: DataFrame) -> DataFrame:
+def _loss_limit(capacity: int, loss_share: float) -> int:
+    return max(1, int(capacity * loss_share))
+
+
+def items(sized: DataFrame, containers: DataFrame, loss_share: float = LOSS_SHARE) -> DataFrame:
     """(container, capacity, doc_id, piece, n_pieces, tokens, loss_tokens): what has to be placed.
 
     A document that exceeds the capacity becomes full pieces and a rest, its loss-bearing tokens
-    spread evenly; all others stay whole. Documents without tokens are no items. Containers
+    spread evenly; so does one with more loss-bearing tokens than a container may hold, its pieces
+    as long as that limit allows. All others stay whole. Documents without tokens are no items. Containers
     without a positive capacity are left out. ``containers`` is a configuration table.
     """
     kinds = F.broadcast(containers.filter("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("long").alias("capacity")).limit(1000))
     pairs = sized.filter("tokens > 0").crossJoin(kinds)  # each document goes into each kind of container
-    n = F.ceil(F.col("tokens") / F.col("capacity")).cast("int")
+    most_loss = F.greatest(F.lit(1), F.floor(F.col("capacity") * F.lit(float(loss_share)))).cast("long")
+    dense = F.greatest(F.lit(1), F.expr("div(_most * tokens, loss_tokens)"))
+    pairs = pairs.withColumn("_most", most_loss).withColumn("_step", F.when(F.col("loss_tokens") > 0, F.least("capacity", dense)).otherwise(F.col("capacity")))
+    n = F.ceil(F.col("tokens") / F.col("_step")).cast("int")
     cut = pairs.withColumn("n_pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
-    size = F.when(F.col("piece") < F.col("n_pieces"), F.col("capacity")).otherwise(F.col("tokens") - F.col("capacity") * (F.col("n_pieces") - 1))
-    before = F.floor(F.col("loss_tokens") * (F.col("capacity") * (F.col("piece") - 1)) / F.col("tokens"))
-    upto = F.when(F.col("piece") < F.col("n_pieces"), F.floor(F.col("loss_tokens") * (F.col("capacity") * F.col("piece")) / F.col("tokens"))).otherwise(F.col("loss_tokens"))
+    size = F.when(F.col("piece") < F.col("n_pieces"), F.col("_step")).otherwise(F.col("tokens") - F.col("_step") * (F.col("n_pieces") - 1))
+    before = F.expr("div(loss_tokens * (_step * (piece - 1)), tokens)")
+    upto = F.when(F.col("piece") < F.col("n_pieces"), F.expr("div(loss_tokens * (_step * piece), tokens)")).otherwise(F.col("loss_tokens"))
     return cut.select("container", "capacity", "doc_id", "piece", "n_pieces", size.cast("long").alias("tokens"), (upto - before).cast("long").alias("loss_tokens"))
 
 
@@ -77,12 +85,11 @@ def _pack_shard(tokens_per_segment: int, loss_share: float, mark: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         capacity = int(pdf["capacity"].iat[0])
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable")
-        limit = np.array([capacity, max(1, capacity // tokens_per_segment), max(1, int(capacity * loss_share))])
+        limit = np.array([capacity, max(1, capacity // tokens_per_segment), _loss_limit(capacity, loss_share)])
         demand = np.c_[pdf["tokens"], np.ones(len(pdf), np.int64), pdf["loss_tokens"]].astype(np.int64)
-        demand[:, 2] = np.minimum(demand[:, 2], limit[2])  # a whole item never exceeds its container
         number = pack(demand, limit)
         name = f"{mark}-{int(pdf['shard'].iat[0])}-"
-        return pdf[["container", "doc_id", "piece", "tokens", "loss_tokens"]].assign(bin=[name + str(i) for i in number])
+        return pdf[["container", "doc_id", "piece", "n_pieces", "unnamed", "tokens", "loss_tokens"]].assign(bin=[name + str(i) for i in number])
 
     return run
 
@@ -94,12 +101,13 @@ def fill(sized: DataFrame, containers: DataFrame, tokens_per_segment: int = TOKE
     overfill a task. Copies of a document are items of their own.
     """
     ws = Workspace(sized.sparkSession, "containers")
-    todo = ws.save(items(sized, containers), "items")
-    n_pieces = todo.select("container", "doc_id", "piece", "n_pieces")
+    todo = items(sized, containers, loss_share).withColumn("unnamed", F.col("doc_id").isNull())
+    todo = ws.save(todo.withColumn("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long")), "items")  # pandas has no null integers
     whole = F.col("tokens") == F.col("capacity")
-    full = todo.filter(whole).select("container", "doc_id", "piece", "tokens", "loss_tokens", F.concat_ws("-", F.lit("whole"), F.col("doc_id"), F.col("piece")).alias("bin"))
+    copy = F.row_number().over(Window.partitionBy("container", "doc_id", "piece").orderBy("unnamed"))
+    full = todo.filter(whole).select("container", "doc_id", "piece", "n_pieces", "unnamed", "tokens", "loss_tokens", F.concat_ws("-", F.lit("whole"), F.col("doc_id"), F.col("piece"), F.when(copy > 1, copy)).alias("bin"))
     placed = [full]
-    todo = todo.filter(~whole).select("container", "capacity", "doc_id", "piece", "tokens", "loss_tokens")
+    todo = todo.filter(~whole).select("container", "capacity", "doc_id", "piece", "n_pieces", "unnamed", "tokens", "loss_tokens")
     for r in range(ROUNDS):
         sizes = todo.groupBy("container", "capacity").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()  # one row per kind
         if not sizes:
@@ -116,14 +124,14 @@ def fill(sized: DataFrame, containers: DataFrame, tokens_per_segment: int = TOKE
         room = packed.groupBy("container", "bin").agg(F.sum("tokens").alias("_t")).join(F.broadcast(todo.select("container", "capacity").distinct()), "container")
         open_ = room.filter(F.col("_t") < FULL * F.col("capacity")).select("container", "bin", "capacity")
         placed.append(packed.join(open_, ["container", "bin"], "left_anti").select(*[c.name for c in packed.schema]))
-        todo = ws.save(packed.join(open_, ["container", "bin"]).select("container", "capacity", "doc_id", "piece", "tokens", "loss_tokens"), "open")
+        todo = ws.save(packed.join(open_, ["container", "bin"]).select("container", "capacity", "doc_id", "piece", "n_pieces", "unnamed", "tokens", "loss_tokens"), "open")
         if len(shards) and max(shards.values()) == 1:
             placed[-1] = packed
             break
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
-    return out.join(n_pieces, ["container", "doc_id", "piece"])
+    return out.select("container", "doc_id", "piece", "tokens", "loss_tokens", "bin", "n_pieces", "unnamed").withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc_id"))).drop("unnamed")
 
 
 def report(packed: DataFrame, containers: DataFrame) -> DataFrame:
