@@ -195,3 +195,9 @@ def test_rows_of_one_person_and_conversation_share_a_split(spark, tmp_path):
     assert by[known[5]] == by[known[7]] and by[known[21]] == by[known[22]]
     assert all(len(v) == 1 for v in by.values())
     assert {tuple(r) for r in splits.same_split_pairs(splits.speaker_forest(spark, str(tmp_path), Workspace(spark, "t"))).collect()} >= {(known[5], known[7]), (known[21], known[22])}
+
+
+def test_too_many_splits_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_SPLITS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        splits.assign_splits(spark, "/root/testdata/sf0.001")

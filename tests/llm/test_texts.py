@@ -228,3 +228,13 @@ def test_binding_limits_hold_and_no_item_is_lost_or_repeated(spark):
         w[0] += n
         w[1] += min(n, k)
     assert docs == want
+
+
+def test_too_many_kinds_of_container_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(containers, "MAX_KINDS", 2)
+    sized = spark.createDataFrame([(1, 5, 5)], "doc_id long, tokens long, loss_tokens long")
+    kinds = spark.createDataFrame([(f"c{i}", 10 + i) for i in range(3)], "container string, capacity_tokens long")
+    with pytest.raises(ValueError, match="more than 2"):
+        containers.fill(sized, kinds)
+    with pytest.raises(ValueError, match="more than 2"):
+        containers.report(containers.fill(sized, kinds.limit(2)), kinds)

@@ -20,6 +20,8 @@ from voxmill.runtime import Workspace
 SHARD_CONTAINERS, SHARD_ITEMS, ROUNDS, FULL = 64, 16_384, 3, 0.995
 #: Tokens per segment that the limit of segments allows for, and the share of tokens that may bear loss.
 TOKENS_PER_SEGMENT, LOSS_SHARE = 8, 1.0
+#: Most kinds of container.
+MAX_KINDS = 1000
 
 PACKED = "container string, doc_id long, piece int, n_pieces int, unnamed boolean, tokens long, loss_tokens long, bin string"
 
@@ -60,6 +62,12 @@ def _loss_limit(capacity: int, loss_share: float) -> int:
     return max(1, int(capacity * loss_share))
 
 
+def _counted(containers: DataFrame) -> DataFrame:
+    if containers.limit(MAX_KINDS + 1).count() > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of container")
+    return containers
+
+
 def items(sized: DataFrame, containers: DataFrame, loss_share: float = LOSS_SHARE) -> DataFrame:
     """(container, capacity, doc_id, piece, n_pieces, tokens, loss_tokens): what has to be placed.
 
@@ -68,7 +76,7 @@ def items(sized: DataFrame, containers: DataFrame, loss_share: float = LOSS_SHAR
     as long as that limit allows. All others stay whole. Documents without tokens are no items. Containers
     without a positive capacity are left out. ``containers`` is a configuration table.
     """
-    kinds = F.broadcast(containers.filter("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("long").alias("capacity")).limit(1000))
+    kinds = F.broadcast(_counted(containers.filter("capacity_tokens > 0")).select("container", F.col("capacity_tokens").cast("long").alias("capacity")))
     pairs = sized.filter("tokens > 0").crossJoin(kinds)  # each document goes into each kind of container
     most_loss = F.greatest(F.lit(1), F.floor(F.col("capacity") * F.lit(float(loss_share)))).cast("long")
     dense = F.greatest(F.lit(1), F.expr("div(_most * tokens, loss_tokens)"))
@@ -138,7 +146,7 @@ def report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per kind of container: how many, their fill, and the least number that the tokens need."""
     bins = packed.groupBy("container", "bin").agg(F.sum("tokens").alias("t"))
     by = bins.groupBy("container").agg(F.count("*").alias("n_bins"), F.sum("t").alias("tokens"))
-    return by.join(F.broadcast(containers.select("container", "capacity_tokens").limit(1000)), "container").select(
+    return by.join(F.broadcast(_counted(containers.select("container", "capacity_tokens"))), "container").select(
         "container", "n_bins", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"),
         F.round(F.col("tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6).alias("fill"),
     )

@@ -168,7 +168,9 @@ def assign_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = parts[0].unionByName(parts[1]).unionByName(parts[2])
     placed = ws.save(placed, "placed")
     sizes = ws.save(placed.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    split = spark.read.parquet(f"{sf_dir}/split_targets.parquet").limit(MAX_SPLITS).collect()
+    split = spark.read.parquet(f"{sf_dir}/split_targets.parquet").limit(MAX_SPLITS + 1).collect()
+    if len(split) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
     dealt = deal(sizes, [(s["split_name"], s["share"]) for s in split], sizes.count())
     return placed.join(dealt, "root").select("table_name", "row_id", "split")
 
