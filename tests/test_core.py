@@ -250,6 +250,19 @@ def test_render_then_audit(spark):
         scene.render(seg, ev[:, :10], bg, fs, 1.0)
 
 
+def test_levels_are_audited_at_any_rate(spark, tmp_path):
+    x = tone(300, 8000, 0.05)
+    rows, n = [], 0
+    for rate in (8000, 22050, 0):
+        for e, s in [("none", "none"), *((e, s) for e in scene.EBRS for s in scene.SARS)]:
+            n += 1
+            rows.append((n, f"s{rate}", e, s, rate, [(x if e == "none" else 2 * x).tolist()] * 2))
+    spark.createDataFrame(rows, "mixed_id long, stem string, ebr string, sar string, sr int, channels array<array<double>>").write.parquet(f"{tmp_path}/mixed.parquet")
+    got = reference_queries.audit_levels(spark, str(tmp_path)).collect()
+    assert {(r["stem"], r["sar"], r["sar_pass"]) for r in got} == {(f"s{fs}", k, (v == 0) if fs else None) for fs in (8000, 22050, 0) for k, v in scene.SARS.items()} and len(got) == 27
+    assert tuple(reference_queries.audit_totals(spark, str(tmp_path)).first()) == (27, 12)
+
+
 # --- packing, matching, conversations ---
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,14 @@ def sar_levels(checked: DataFrame, fs: int, key: str = "stem") -> DataFrame:
     return m.select(key, "ebr", "sar", F.round("measured_sar", 6).alias("measured_sar"), F.round(diff, 6).alias("diff"), (F.abs(diff) <= SAR_TOLERANCE).alias("sar_pass"))
 
 
+def all_sar_levels(mixed: DataFrame, key: str = "stem") -> DataFrame:
+    """Recovered ratios of all checked rows, whatever their rates; nothing can be measured at a rate that is not positive."""
+    c = checks(mixed, key)
+    rates = sorted(r["sr"] for r in mixed.select("sr").filter("sr is not null").distinct().collect())  # one row per rate
+    none = c.filter("status = 'CHECKED' and sr <= 0").select(key, "ebr", "sar", *[F.lit(None).cast(t).alias(n) for n, t in (("measured_sar", "double"), ("diff", "double"), ("sar_pass", "boolean"))])
+    return reduce(DataFrame.unionByName, [sar_levels(c, fs, key) for fs in rates if fs > 0], none)
+
+
 LONG = "stem string, ebr string, sar string, measured_sar double, sar_diff double, sar_pass boolean, measured_ebr double, ebr_pass boolean, conf_events double, conf_bg double, fit_r2 double, incremental_r2 double"
 
 

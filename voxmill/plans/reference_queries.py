@@ -229,12 +229,7 @@ def completeness_audit(spark, d):
 
 
 def audit_levels(spark, d):
-    c = audit.checks(_t(spark, d, "mixed"))
-    out = None
-    for fs in (16_000, 44_100, 48_000):
-        got = audit.sar_levels(c, fs)
-        out = got if out is None else out.unionByName(got)
-    return out
+    return audit.all_sar_levels(_t(spark, d, "mixed"))
 
 
 def audit_totals(spark, d):
