@@ -50,11 +50,11 @@ def test_clean_text(spark):
 
 
 def test_speaker_labels(spark):
-    rows = ["p0001004", "P-0001004", " p0001004", "p1004", "spk_p0001004", "speaker p0001004", "p0001004:", None, "", "?", "guest", "p123456789"]
+    rows = ["p0001004", "P-0001004", " p0001004", "p1004", "spk_p0001004", "speaker p0001004", "p0001004:", "p０００１００４", "Ｐ-１００４", "p٠٠٠١٠٠٤", None, "", "?", "guest", "p123456789"]
     df = spark.createDataFrame([(x,) for x in rows], "s string")
-    assert [r[0] for r in df.select(ids.regular_speaker(F.col("s"))).collect()] == ["p0001004"] * 7 + [None] * 4 + ["p123456789"]
-    both = spark.createDataFrame([("p0001-P-2",), ("p0000001 + spk_p1",), (None,), ("x",)], "s string").select(ids.named_speakers(F.col("s"))).collect()
-    assert [r[0] for r in both] == [["p0000001", "p0000002"], ["p0000001"], [], []]
+    assert [r[0] for r in df.select(ids.regular_speaker(F.col("s"))).collect()] == ["p0001004"] * 10 + [None] * 4 + ["p123456789"]
+    both = spark.createDataFrame([("p0001-P-2",), ("p0000001 + spk_p1",), ("p００００００１-p0000002",), (None,), ("x",)], "s string").select(ids.named_speakers(F.col("s"))).collect()
+    assert [r[0] for r in both] == [["p0000001", "p0000002"], ["p0000001"], ["p0000001", "p0000002"], [], []]
 
 
 def canonical(p):
