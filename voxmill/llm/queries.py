@@ -50,7 +50,10 @@ QUERIES = {
 
 _USABLE = "select utterance_id, max(words) as words from utterances where words > 0 and utterance_id is not null group by 1"
 
-_SPEAKER = "'p' || lpad(ltrim(regexp_extract({c}, '(\\d+)', 1), '0'), 7, '0')"
+# Code points of full-width digits are moved to those of ASCII; whatever else is no digit parts the numbers.
+_NUMBERS = """list_filter(string_split(list_aggregate(list_transform(string_split({c}, ''), lambda x:
+    case when x between '0' and '9' then x when unicode(x) between 65296 and 65305 then chr(cast(unicode(x) - 65248 as int)) else ' ' end), 'string_agg', ''), ' '), lambda x: x <> '')"""
+_SPEAKER = f"'p' || lpad(ltrim(({_NUMBERS})[1], '0'), 7, '0')"
 
 _PROBS = ", ".join(f"({p})" for p in percentiles.REPORTED)
 
@@ -60,7 +63,7 @@ ORACLES = {
           select k.d as dimension, k.g as grp, measure, value
           from (select k, unnest(['duration', 'words']) as measure, unnest([duration, words]) as value from
             (select unnest([{{d: 'mic', g: mic}}, {{d: 'sr', g: sr::varchar}}, {{d: 'day', g: recorded_at::date::varchar}},
-              {{d: 'speaker', g: case when regexp_matches(speaker, '\\d') then {_SPEAKER.format(c='speaker')} end}}]) as k,
+              {{d: 'speaker', g: {_SPEAKER.format(c='speaker')}}}]) as k,
               duration, words::double as words from utterances))
           where isfinite(value)),
         r as (
@@ -71,14 +74,14 @@ ORACLES = {
     """,
     "p2_found": f"""
         with recursive talk as (
-          select distinct conv, {_SPEAKER.format(c='speaker')} as s from turns where regexp_matches(speaker, '\\d')),
+          select distinct conv, {_SPEAKER.format(c='speaker')} as s from turns),
         named as (
-          select distinct list_transform(regexp_extract_all(speaker_id, '\\d+'), lambda x: 'p' || lpad(ltrim(x, '0'), 7, '0')) as n from mixed),
+          select distinct list_transform({_NUMBERS.format(c='speaker_id')}, lambda y: 'p' || lpad(ltrim(y, '0'), 7, '0')) as n from mixed),
         link as (
           select a.s as a, b.s as b from talk a join talk b using (conv) where a.s <> b.s
           union select x, y from (select n, unnest(n) as x from named) t, unnest(t.n) u(y) where x <> y
-          union select speaker_id, {_SPEAKER.format(c='same_as')} from speakers where regexp_matches(same_as, '\\d')
-          union select {_SPEAKER.format(c='same_as')}, speaker_id from speakers where regexp_matches(same_as, '\\d')),
+          union select speaker_id, {_SPEAKER.format(c='same_as')} from speakers
+          union select {_SPEAKER.format(c='same_as')}, speaker_id from speakers),
         known as (select a, b from link where a in (select speaker_id from speakers) and b in (select speaker_id from speakers) and a <> b),
         reach as (select speaker_id as a, speaker_id as b from speakers union select r.a, k.b from reach r join known k on r.b = k.a)
         select a as speaker_a, b as speaker_b from reach where a < b
