@@ -1,10 +1,13 @@
 import random
+from collections import Counter
 from itertools import groupby
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voxmill.llm import repeats, runs, transcripts
+from voxmill.runtime import Workspace
 
 SCHEMA = "row_id long, file string, idx int, participant string, tokens array<string>, start_ms long, end_ms long, chunk string, words int"
 
@@ -71,9 +74,43 @@ def test_repeats(spark):
     assert r.agg(F.sum("n_events")).first()[0] == len({(a, b) for a, b, *_ in rows})
 
 
+def slips_of(spark, rows):
+    """Slips among (word, place) rows."""
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["word", "place"]))
+    return {r["word"]: r["usual"] for r in repeats.slips(df, Workspace(spark, "t"))[1].collect()}
+
+
 def test_words_of_similar_spelling_that_are_both_in_use_stay_apart(spark):
-    counts = spark.createDataFrame([("form", 50), ("from", 90), ("visitor", 100), ("visiotr", 2), ("visittor", 1), ("viistor", 20)], "word string, n long")
-    assert {(r["word"], r["usual"]) for r in repeats.slips(counts).collect()} == {("visiotr", "visitor"), ("visittor", "visitor")}
+    counts = [("form", 50), ("from", 90), ("visitor", 100), ("visiotr", 2), ("visittor", 1), ("viistor", 20)]
+    rows = [(w, i) for w, n in counts for i in range(n)]
+    assert slips_of(spark, rows) == {"visiotr": "visitor", "visittor": "visitor"}
+    counts = [("quite", 80), ("quiet", 9), ("trail", 8), ("trial", 1), ("later", 40), ("latter", 4)]
+    assert slips_of(spark, [(w, i) for w, n in counts for i in range(n)]) == {}
+
+
+def test_slips_of_a_vocabulary_that_was_not_looked_at(spark):
+    rng = random.Random(8)
+    syllables = [a + b for a in "bcdfghklmnprstvz" for b in "aeiou"]
+    words = sorted({"".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 3, 3, 4]))) + rng.choice(["", "n", "s"]) for _ in range(600)})
+    rng.shuffle(words)
+
+    def mistyped(w):
+        i = rng.randrange(len(w) - 1)
+        return w[:i] + w[i + 1] + w[i] + w[i + 2 :] if w[i] != w[i + 1] and rng.random() < 0.5 else w[:i] + w[i] + w[i:]
+
+    alike = {w: x for w in rng.sample([w for w in words if len(w) >= 5], 40) if (x := mistyped(w)) not in words}
+    rows, slipped = [], {}
+    for k, w in enumerate(rng.choices(words, [1 / (i + 5) for i in range(len(words))], k=200_000)):
+        if w in alike and rng.random() < 0.08:
+            w = alike[w]
+        elif len(w) > 5 and rng.random() < 0.005 and (x := mistyped(w)) not in words and x not in alike.values():
+            slipped[x], w = w, x
+        rows.append((w, k // 40))
+    got = slips_of(spark, rows)
+    count = Counter(w for w, _ in rows)
+    wrong = sum(count[x] for x in got if slipped.get(x) != got[x])
+    lost = sum(count[x] for x in slipped if got.get(x) != slipped[x])
+    assert wrong <= 0.01 * sum(count[x] for x in alike.values()) and lost <= 0.01 * sum(count[x] for x in slipped)
 
 
 def test_empty_table_and_null_times(spark):
