@@ -131,6 +131,18 @@ class Grammar:
     # Matchers take (text, position, nodes so far, memo) and give the end, or -1.
     def _rule(self, name: str):
         body = self._compile(self._defs[name])
+        if self._defs[name][0] == "rx":  # a terminal has no nodes inside
+            match = re.compile(self._defs[name][1]).match
+
+            def leaf(s, i, out, memo):
+                m = match(s, i)
+                if m is None:
+                    return -1
+                end = m.end()
+                out.append(Node(name, i, end, []))
+                return end
+
+            return leaf
 
         def plain(s, i, out, memo):
             inner: list = []
@@ -159,8 +171,14 @@ class Grammar:
     def _compile(self, e):
         kind = e[0]
         if kind == "ref":
-            rules, name = self._rules, e[1]
-            return lambda s, i, out, memo: rules[name](s, i, out, memo)
+            rules, name, known = self._rules, e[1], []
+
+            def ref(s, i, out, memo):
+                if not known:  # rules may refer to later ones
+                    known.append(rules[name])
+                return known[0](s, i, out, memo)
+
+            return ref
         if kind == "lit":
             lit = e[1]
             return lambda s, i, out, memo: i + len(lit) if s.startswith(lit, i) else -1

@@ -21,21 +21,22 @@ from voxmill.llm.runs import pieces, runs, with_run_start
 
 # The marks of the transcript conventions.
 UTTERANCE = r"""
-Utterance <- (Filler / Unclear / Word / Space / Time / Event / Code / Mark / Stray)*
+Utterance <- (Plain / Filler / Unclear / Word / Space / Mark / Time / Event / Code / Stray)*
+Plain     <- ~"(?:(?!(?i:u+h+m*|u+m+|e+r+m*|e+h+m*|h+m+|m+h+m+|mm+|xxx|yyy|www)(?![\w'’]))[A-Za-z]++(?:['’][A-Za-z]++)*+[.,!?…]*+(?:\s++[.,!?…]++)*+(?:\s++|$))+"
 Space     <- ~"\s+"
-Time      <- Bullet / Tag / Clock / Seconds / Span
+Time      <- &~"[\x15<\d\[(]" (Bullet / Tag / Clock / Seconds / Span)
 Bullet    <- '\x15' ~"[\d_\s]*" '\x15'
 Tag       <- ~"<t\s*=\s*[\d.:]+>"
 Clock     <- ('[' / '(' / '<')? ~"\d{1,3}(:\d{2}){1,2}([.,]\d+)?" (']' / ')' / '>')? End
 Seconds   <- ~"\d+([.,]\d+)?s" End
 Span      <- ~"\d+[_-]\d+" End
-Event     <- Coded / Bracketed / Starred
+Event     <- &~"[&\[(<*]" (Coded / Bracketed / Starred)
 Coded     <- '&=' Name
 Bracketed <- '[' Inner ']' / '(' Inner ')' / '<' Inner '>'
 Inner     <- (Bracketed / Starred / Name / ~"[^\w\[\]()<>*]+")*
 Starred   <- '*' (Name / ~"[ \t]+")+ '*'
 Name      <- ~"\w+(:\w+)*"
-Code      <- Sound / Broken / Pause / ~"[&@]\S*" / ~"\+\S*"
+Code      <- &~"[&@+\w'’-]" (Sound / Broken / Pause / ~"[&@]\S*" / ~"\+\S*")
 Sound     <- ~"[\w'’-]*@\S*"
 Broken    <- ~"&\+\S*"
 Pause     <- ~"&-?[^\W\d_]+"
@@ -57,7 +58,7 @@ Close  <- ~"\s*[\])>:*.]*"
 End    <- ~"\Z"
 """
 
-SPOKEN, NOISE, TIME = "Word", "Event", "Time"
+PLAIN, SPOKEN, NOISE, TIME = "Plain", "Word", "Event", "Time"
 
 
 @lru_cache(maxsize=1)
@@ -99,13 +100,21 @@ def _names(node, text: str, found: list[str]) -> None:
 
 def parse_utterance(tokens) -> tuple[list[str], list[str], int]:
     """(spoken words, noises, number of times) of a token list; null and blank tokens are skipped."""
-    text = " ".join([t for t in tokens if t]) if tokens is not None else ""
+    return parse_text(" ".join([t for t in tokens if t]) if tokens is not None else "")
+
+
+def parse_text(text: str | None) -> tuple[list[str], list[str], int]:
+    """``parse_utterance`` of tokens that are joined already; runs of plain words are one node of the tree."""
     if not text:
         return [], [], 0
     tree = _utterance().parse(text)
     words, noises, times = [], [], 0
     for n in tree.children:
-        if n.rule == SPOKEN:
+        if n.rule == PLAIN:
+            for w in text[n.start : n.end].lower().split():
+                if w.isalpha() or (w := regular_word(w.rstrip(".,!?…"))):
+                    words.append(w)
+        elif n.rule == SPOKEN:
             if w := regular_word(text[n.start : n.end].rstrip(" .,!?")):
                 words.append(w)
         elif n.rule == NOISE:
@@ -146,7 +155,7 @@ def clean_utterances(df: DataFrame) -> DataFrame:
     def parse(batches):
         for b in batches:
             label = b["participant"].map(regular_participant)
-            got = [parse_utterance(t) for t in b["tokens"]]
+            got = [parse_text(t) for t in b["said"]]
             words, noise = [" ".join(w) for w, _, _ in got], [" + ".join(n) for _, n, _ in got]
             out = pd.DataFrame(
                 {
@@ -163,7 +172,7 @@ def clean_utterances(df: DataFrame) -> DataFrame:
             )
             yield out.sort_values(["file", "idx", "pref", "row_id"], kind="stable").drop_duplicates(["file", "idx"])
 
-    need = df.select("file", F.col("idx").cast("long"), "participant", "tokens", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), F.col("row_id").cast("long"))
+    need = df.select("file", F.col("idx").cast("long"), "participant", F.array_join("tokens", " ").alias("said"), F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), F.col("row_id").cast("long"))
     return need.filter(F.col("file").isNotNull() & F.col("idx").isNotNull()).mapInPandas(parse, EVENTS)
 
 
