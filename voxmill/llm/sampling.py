@@ -8,11 +8,13 @@ priorities, so its seats pass to the others.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.operators.ordering import hashed_rank
-from voxmill.runtime import Workspace
+from voxmill.runtime import Workspace, broadcast_if_small
 
 #: Rows that the table of targets may have; it is a configuration table, checked before it is used as one.
 MAX_TARGETS = 100_000
@@ -71,8 +73,9 @@ def sample_to_targets(
     ``round(sample_frac * U)`` of them. Records outside all bands are counted in U and never drawn.
 
     The sample has plan, category, record_id, value, rank and priority. The report has one row per
-    target with available, required (the larger of the minimum and the share), taken, reached_share
-    and short (available < required). Null bounds are open, null shares and minimums are zero. An
+    target with available, required (the larger of the minimum and the share), taken, reached_share,
+    drawable (records with a rank up to what is required) and short (drawable < required), so that
+    both what was taken and what is missing are read off the ranked records. Null bounds are open, null shares and minimums are zero. An
     empty ``records`` gives an empty sample and a report of zeros.
     """
     spark = records.sparkSession
@@ -84,16 +87,17 @@ def sample_to_targets(
     r = records.filter(F.col(value) > 0).select(F.col(record_id).alias("_id"), F.col(value).alias("_v")).filter(F.col("_id").isNotNull())
     usable = ws.save(r.groupBy("_id").agg(F.max("_v").alias("_v")), "usable")
     # Counts by value, pre-aggregated where the rows lie; bands are then counted on that small table.
-    by_value = usable.groupBy("_v").agg(F.count("*").alias("n"))
+    by_value = ws.save(usable.groupBy("_v").agg(F.count("*").alias("n")), "values")
     inside = F.col("_v").between(F.coalesce(f"lo_{value}", F.col("_v")), F.coalesce(f"hi_{value}", F.col("_v")))
     small = F.broadcast(plans.select(plan, category, f"lo_{value}", f"hi_{value}"))  # at most MAX_TARGETS rows
-    counted = {(x[plan], x[category]): x["n"] for x in by_value.join(small, inside).groupBy(plan, category).agg(F.sum("n").alias("n")).collect()}
-    u = usable.count()
+    of_value = ws.save(by_value.join(small, inside).select("_v", plan, category, "n"), "bands")  # values x the bands they lie in, no records
+    counted = {(x[plan], x[category]): (x["n"], x["k"]) for x in of_value.groupBy(plan, category).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
+    u = by_value.agg(F.sum("n")).first()[0] or 0
 
     rows = []
     for p in dict.fromkeys(x[plan] for x in rules):
         own = [x for x in rules if x[plan] == p]
-        cats = [{"n": counted.get((p, x[category]), 0), "target": x["target_share"], "floor": x["min_rows"] or 0} for x in own]
+        cats = [{"n": counted.get((p, x[category]), (0, 0))[0], "target": x["target_share"], "floor": x["min_rows"] or 0} for x in own]
         size = round(max((x["sample_frac"] or 0.0) for x in own) * u)
         for x, c, k in zip(own, cats, seats(cats, size)):
             required = max(float(x["min_rows"] or 0), (x["target_share"] or 0.0) * (x["sample_frac"] or 0.0) * u)
@@ -105,28 +109,33 @@ def sample_to_targets(
     )
 
     h = F.xxhash64(F.lit(seed), F.col(plan), F.col(category), F.col("_id"))
-    bands = F.broadcast(quota.select(plan, category, "lo", "hi", "target", "floor", "seats", "available"))  # at most MAX_TARGETS rows
-    entries = usable.join(bands, F.col("_v").between(F.coalesce("lo", "_v"), F.coalesce("hi", "_v")))
-    # Records are ranked by hash, so those of rank 1 .. seats lie at the low end of the hash range.
+    # Ranks go as far as the seats and as what is required, whichever is more.
+    most = F.greatest("seats", F.least("available", F.ceil("required"))).cast("long")
+    bands = F.broadcast(quota.select(F.col(plan).alias("_p"), F.col(category).alias("_c"), "target", "floor", "seats", "available", most.alias("most")))  # at most MAX_TARGETS rows
+    named = of_value.join(bands, F.col(plan).eqNullSafe(F.col("_p")) & F.col(category).eqNullSafe(F.col("_c"))).drop("_p", "_c", "n")
+    entries = usable.join(broadcast_if_small(named, sum(k for _, k in counted.values()), 200), "_v")
+    # Records are ranked by hash, so those of rank 1 .. most lie at the low end of the hash range.
     # Ranking only a low slice gives the same ranks; whether it held enough is checked below.
     place = h.cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    share = (F.col("seats") + 5 * F.sqrt(F.col("seats")) + 20) / F.greatest(F.col("available"), F.lit(1))
-    wanted = sum(x[8] for x in rows)
+    share = (F.col("most") + 5 * F.sqrt(F.col("most")) + 20) / F.greatest(F.col("available"), F.lit(1))
+    wanted = sum(max(x[8], min(x[6], math.ceil(x[7]))) for x in rows)
 
-    def draw(pool: DataFrame) -> DataFrame:
-        ranked = hashed_rank(pool, [plan, category], h, ["_id"], rows=wanted + 1).filter(F.col("rank") <= F.col("seats"))
+    def rank(pool: DataFrame) -> DataFrame:
+        ranked = hashed_rank(pool, [plan, category], h, ["_id"], rows=wanted + 1).filter(F.col("rank") <= F.col("most"))
         priority = F.when(F.col("rank") <= F.col("floor"), F.lit(0.0)).otherwise((F.col("rank") - 0.5) / F.greatest(F.col("target"), F.lit(TINY)))
-        return ws.save(ranked.select(plan, category, F.col("_id").alias(record_id), F.col("_v").alias(value), "rank", priority.alias("priority")), "sample")
+        return ws.save(ranked.select(plan, category, F.col("_id").alias(record_id), F.col("_v").alias(value), "rank", priority.alias("priority"), (F.col("rank") <= F.col("seats")).alias("drawn")), "sample")
 
-    drawn = draw(entries.filter(place <= share))
-    if drawn.count() < wanted:
-        drawn = draw(entries)
-    taken = drawn.groupBy(plan, category).agg(F.count("*").alias("taken"))
+    ranked = rank(entries.filter(place <= share))
+    if ranked.count() < wanted:
+        ranked = rank(entries)
+    drawn = ranked.filter("drawn").drop("drawn")
+    taken = ranked.groupBy(plan, category).agg(F.count_if("drawn").alias("taken"), F.max("rank").alias("last"))
     report = quota.join(taken, [plan, category], "left").select(
         plan, category, F.col("target").alias("target_share"), F.col("floor").alias("min_rows"), "available", "required",
         F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
         F.round(F.coalesce("taken", F.lit(0)) / F.when(F.sum(F.coalesce("taken", F.lit(0))).over(_by(plan)) > 0, F.sum(F.coalesce("taken", F.lit(0))).over(_by(plan))), 6).alias("reached_share"),
-        (F.col("available") < F.col("required")).alias("short"),
+        F.least(F.coalesce("last", F.lit(0).cast("long")), F.ceil("required")).alias("drawable"),
+        (F.coalesce("last", F.lit(0)) < F.col("required")).alias("short"),
     )
     return drawn, report
 
@@ -150,4 +159,4 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir)[1].drop("reached_share")
+    return _run(spark, sf_dir)[1].drop("reached_share", "drawable")
