@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from voxmill.llm import containers, langid, mixing, percentiles, repeats, sampling, splits, transcripts
 
 
@@ -25,12 +32,32 @@ def _p5_events(spark, sf_dir):
     return r.select("file", "first_idx", "last_idx", "participant", "n_events", "duration_ms")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _people(labels: pd.Series) -> pd.Series:
+    """Numbers in a label as ids, read by Unicode's compatibility forms instead of the operator's digit table."""
+    return labels.map(lambda s: [f"p{int(n):07d}" for n in re.findall(r"\d+", unicodedata.normalize("NFKC", s))] if isinstance(s, str) else [])
+
+
+def _p2_torn(spark, sf_dir):
+    """Known people, and conversations, with rows in several splits: there must be none."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("speakers", "utterances", "turns", "mixed")}
+    none = F.lit(None).cast("string")
+    rows = t["utterances"].select(F.lit("utterances").alias("table_name"), "row_id", _people("speaker").alias("who"), none.alias("conv"))
+    rows = rows.unionByName(t["turns"].select(F.lit("turns").alias("table_name"), F.col("turn_id").alias("row_id"), _people("speaker").alias("who"), "conv"))
+    rows = rows.unionByName(t["mixed"].select(F.lit("mixed").alias("table_name"), F.col("mixed_id").alias("row_id"), _people("speaker_id").alias("who"), none.alias("conv")))
+    placed = rows.join(splits.assign_splits(spark, sf_dir), ["table_name", "row_id"], "left")
+    people = placed.select(F.explode("who").alias("unit"), "split").distinct().join(t["speakers"].select(F.col("speaker_id").alias("unit")), "unit", "left_semi")
+    convs = placed.filter("conv is not null").select(F.concat(F.lit("conv "), F.col("conv")).alias("unit"), "split").distinct()
+    return people.unionByName(convs).groupBy("unit").agg(F.count("*").alias("n_splits")).filter("n_splits > 1")
+
+
 QUERIES = {
     "p1_found": _p1_found,
     "p1_turns": _p1_turns,
     "p2_found": splits.found,
     "p2_splits": splits.assign_splits,
     "p2_report": splits.report,
+    "p2_torn": _p2_torn,
     "p4_found": sampling.found,
     "p4_report": sampling.report,
     "p4_sample": sampling.sample,
@@ -40,9 +67,11 @@ QUERIES = {
     "p7_found": containers.found,
     "p7_filled": containers.filled,
     "p7_report": containers.fill_report,
+    "p7_broken": containers.broken,
     "p8_found": mixing.found,
     "p8_mixed": mixing.mixed,
     "p8_report": mixing.report,
+    "p8_strays": mixing.off_share,
     "p9_found": langid.found,
     "p9_documents": lambda spark, sf_dir: langid.documents(spark.read.parquet(f"{sf_dir}/documents.parquet")),
     "p9_segments": lambda spark, sf_dir: langid.segments(spark.read.parquet(f"{sf_dir}/documents.parquet")),
@@ -58,6 +87,9 @@ _SPEAKER = f"'p' || lpad(ltrim(({_NUMBERS})[1], '0'), 7, '0')"
 _PROBS = ", ".join(f"({p})" for p in percentiles.REPORTED)
 
 ORACLES = {
+    "p2_torn": "select '' as unit, 0::bigint as n_splits where false",
+    "p7_broken": "select '' as container, '' as bin, 0::bigint as doc_id where false",
+    "p8_strays": "select 0::int as mix_id, '' as source, 0::int as slot, 0::double as off_tokens where false",
     "p6_percentiles": f"""
         with x as (
           select k.d as dimension, k.g as grp, measure, value
