@@ -105,11 +105,11 @@ def listing(spark, at, rows, mode="append"):
 def test_compaction_once_and_again(spark, tmp_path):
     src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
     listing(spark, src, [(1, "/srv/speech/a", None, "x"), (2, "a", "t", None), (3, None, "t", "y"), (4, None, "/srv/speech/t", "y"), (5, None, None, "z"), (6, None, None, "z"), (7, "A", None, "w")])
-    c = compactor.compact(spark, src, out, files_per_batch=1)
+    c = compactor.compact(spark, src, out, bytes_per_batch=1)
     assert c.members.count() == 7 and c.records.count() == 5
     assert {tuple(r) for r in compactor.same_file_pairs(c.members).collect()} == {(1, 2), (3, 4)}
     listing(spark, src, [(8, "file:///srv/speech/a", None, "x"), (9, "/srv/speech/new", None, "n")])
-    c = compactor.compact(spark, src, out, files_per_batch=1)
+    c = compactor.compact(spark, src, out, bytes_per_batch=1)
     assert c.members.count() == 9 and c.records.count() == 6
     assert c.records.select("file_key").distinct().count() == 6
     again = compactor.compact(spark, src, out)
@@ -145,6 +145,32 @@ def test_content_in_a_later_batch_replaces_a_stored_null(spark, tmp_path):
     assert set(c.members.columns) == {"file_id", "file_key", "batch"}
 
 
+def test_many_small_arrivals_make_few_files(spark, tmp_path):
+    src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    rng, want, n = random.Random(4), {}, 0
+    for arrival in range(5):
+        for _ in range(4):  # four input files an arrival, a batch each
+            rows = []
+            for _ in range(30):
+                n += 1
+                key, content = f"/f{rng.randrange(120)}", rng.choice([None, "x" * rng.randrange(1, 400)])
+                rows.append((n, key, None, content))
+            listing(spark, src, rows)
+        c = compactor.compact(spark, src, out, bytes_per_batch=1, target_bytes=16_000)
+    listed = spark.read.parquet(src).select("file_id", "flac_path", "content").collect()
+    for r in listed:
+        want.setdefault(f"a:{r['flac_path']}", []).append(r["content"])
+    stored = c.records.collect()
+    assert len(stored) == len({r["file_key"] for r in stored}) == len(want) and c.members.count() == n == 600
+    assert all(r["content"] in want[r["file_key"]] and (r["content"] is not None or not any(want[r["file_key"]])) for r in stored)
+    files = [f for b in {r["batch"] for r in stored} for f in (tmp_path / "out" / "records" / f"batch={b}").glob("*.parquet")]
+    total = sum(r["stored_bytes"] for r in stored)
+    assert len(files) <= -(-total // 8_000) + 1
+    # All but what the last batch took over is deleted.
+    assert len(list((tmp_path / "out" / "records").glob("batch=*"))) <= len({r["batch"] for r in stored}) + 2
+    assert sum(r["n_listed"] for r in compactor.classes(c.members).collect()) == 600
+
+
 def test_compaction_of_an_empty_listing(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     listing(spark, src, [])

@@ -7,6 +7,7 @@ from voxmill.streaming import compactor
 QUERIES = {
     "p3_found": compactor.found,
     "p3_report": compactor.report,
+    "p3_recordings": compactor.recordings,
 }
 
 _KEY = r"""
@@ -16,6 +17,15 @@ _KEY = r"""
 """
 
 ORACLES = {
+    "p3_recordings": f"""
+        with k as (
+          select file_id, content,
+            coalesce('a:' || {_KEY.format(c='flac_path')}, 't:' || {_KEY.format(c='txt_path')}, 'r:' || file_id) as k from speech_files),
+        r as (
+          select k, file_id, content, min(file_id) over (partition by k) as first_file_id, count(*) over (partition by k) as n_listed,
+            row_number() over (partition by k order by content is null, file_id) as r from k)
+        select first_file_id, n_listed, file_id, md5(content) as content_md5 from r where r = 1
+    """,
     "p3_found": f"""
         with k as (
           select file_id, coalesce('a:' || {_KEY.format(c='flac_path')}, 't:' || {_KEY.format(c='txt_path')}) as k from speech_files)

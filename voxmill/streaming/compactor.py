@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill.functions.paths import canonical_path
-from voxmill.runtime import Workspace, is_file
+from voxmill.runtime import Workspace, delete, exists, is_file
 
-#: Size of an output file, and of the listing taken into one batch.
+#: Size of an output file, and of the input files taken into one batch. A batch holds its keys against those of all
+#: earlier ones, whose fingerprints are a thousandth of the data, so batches should be large.
 TARGET_FILE_BYTES = 128 << 20
-FILES_PER_BATCH = 1000
+BYTES_PER_BATCH = 64 << 30
 
 
 @dataclass
@@ -36,24 +39,28 @@ def compact(
     id_col: str = "file_id",
     root: str = "/srv/speech",
     target_bytes: int = TARGET_FILE_BYTES,
-    files_per_batch: int = FILES_PER_BATCH,
+    bytes_per_batch: int = BYTES_PER_BATCH,
 ) -> Compacted:
     """Stream the listing at ``source`` into ``out`` until all that is there has been processed.
 
-    The stream's checkpoint lists each input file once. Every micro-batch writes under its batch
+    The stream's checkpoint lists each input file once. Every micro-batch takes about
+    ``bytes_per_batch`` of input files, however many they are, and writes under its batch
     number with overwrite, so a retried batch replaces its own output and nothing else. A
     recording that an earlier batch has stored is not stored again, unless it was stored without
     content and a row of this batch has it: that row is stored, and its key is noted under
     ``replaced``, so that ``records`` leaves out the earlier row. Within a batch the row with
     content and the smallest id wins. Rows without any path can't be matched with others: each is
-    a recording of its own. Calling again after new files arrived continues from the checkpoint.
+    a recording of its own. Calling again after new files arrived continues from the checkpoint;
+    a batch takes over the records of earlier batches that do not even fill half a file, so small
+    arrivals do not leave small files. What was taken over is deleted by the batch after it, when
+    no retry can need it any more.
 
     Nulls: null sizes count as zero; null content is kept. An empty listing gives empty tables.
     Extra columns are carried along; a column that is named like one of this operator's own
     (``file_key``, ``batch``, ``stored_bytes``) is renamed with a trailing ``_in``.
     """
     schema = spark.read.parquet(source).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch)
     if is_file(spark, source):
         folder, _, name = source.rpartition("/")
         stream = reader.option("pathGlobFilter", name).parquet(folder)
@@ -65,51 +72,101 @@ def compact(
             stream = stream.withColumnRenamed(c, f"{c}_in")
     lone = F.concat(F.lit("r:"), F.coalesce(F.col(id_col).cast("string"), F.uuid()))
     keyed = stream.withColumn("file_key", F.coalesce(file_key(root=root), lone))
-    size = F.greatest(F.octet_length("content"), F.lit(0)) if "content" in schema.names else F.lit(0)
+    has_content = "content" in schema.names
+    size = F.greatest(F.octet_length("content"), F.lit(0)) if has_content else F.lit(0)
     keyed = keyed.withColumn("stored_bytes", (F.coalesce(size, F.lit(0)) + F.lit(64)).cast("long"))
-    records_schema = keyed.withColumn("batch", F.lit(0)).schema
-    filled = F.col("content").isNotNull() if "content" in schema.names else F.lit(True)
-    listed = keyed.select(id_col, "file_key", filled.alias("filled"), F.lit(0).alias("batch"))
-    members_schema = listed.drop("filled").schema
-    replaced_schema = listed.select("file_key", "batch").schema
+    filled = F.col("content").isNotNull() if has_content else F.lit(True)
+    best = Window.partitionBy("file_key").orderBy(*([F.col("content").isNull()] if has_content else []), F.col(id_col).asc_nulls_last())
+    store = _Store(spark, out, keyed.schema, id_col)
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            total = batch.agg(F.sum("stored_bytes")).first()[0] or 0
-            parts = max(1, -(-int(total) // target_bytes))
-            batch.select(id_col, "file_key", filled.alias("filled")).repartition(parts).write.mode("overwrite").parquet(f"{out}/members/batch={number}")
-            best = Window.partitionBy("file_key").orderBy(*([F.col("content").isNull()] if "content" in schema.names else []), F.col(id_col).asc_nulls_last())
-            fresh = batch.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+            batch.select(id_col, "file_key").write.mode("overwrite").parquet(f"{out}/members/batch={number}")
+            fresh = batch.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r").select(*_fingerprint(), *batch.columns)
+            earlier, absorbed = [], []
             if number > 0:
-                before = spark.read.schema(listed.schema).option("basePath", f"{out}/members").parquet(f"{out}/members").filter(F.col("batch") < number)
-                before = before.groupBy("file_key").agg(F.max(F.coalesce("filled", F.lit(False))).alias("_filled"))
-                fresh = fresh.join(before, "file_key", "left").filter(F.col("_filled").isNull() | (filled & ~F.col("_filled")))
+                store.clear(number)
+                known = store.keys(number).groupBy(*_PRINTS).agg(F.max("filled").alias("_filled"))  # a key is stored twice at most
+                fresh = fresh.join(known, _PRINTS, "left").filter(F.col("_filled").isNull() | (filled & ~F.col("_filled")))
                 again = fresh.filter("_filled is not null").select("file_key")
-                again.coalesce(1).write.mode("overwrite").parquet(f"{out}/replaced/batch={number}")
-                fresh = fresh.drop("_filled").select(batch.columns)
+                again.write.mode("overwrite").parquet(f"{out}/replaced/batch={number}")
+                sizes = store.live(number)
+                absorbed = sorted(n for n, size in sizes.items() if size < target_bytes // 2)
+                if absorbed:
+                    earlier = [store.records(number, absorbed).join(store.replaced(number + 1, number), "file_key", "left_anti")]
+            fresh.select(*_PRINTS, filled.alias("filled")).write.mode("overwrite").parquet(f"{out}/keys/batch={number}")
+            laid = reduce(DataFrame.unionByName, [fresh.select(batch.columns), *[e.select(batch.columns) for e in earlier]])
+            total = int(laid.agg(F.sum("stored_bytes")).first()[0] or 0)
+            parts = max(1, -(-total // target_bytes))
             # A range layout keeps neighbouring recordings in one file and splits a hot folder.
-            laid = fresh.repartitionByRange(parts, "file_key").sortWithinPartitions("file_key") if parts > 1 else fresh.coalesce(1)
-            laid.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+            laid = laid.repartitionByRange(parts, "file_key") if parts > 1 else laid.repartition(1)
+            laid.sortWithinPartitions("file_key", id_col).write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+            spark.createDataFrame([(total, absorbed)], "stored_bytes long, absorbed array<int>").coalesce(1).write.mode("overwrite").parquet(f"{out}/sizes/batch={number}")
         finally:
             batch.unpersist()
 
     query = keyed.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    records = _read(spark, f"{out}/records", records_schema)
-    replaced = _read(spark, f"{out}/replaced", replaced_schema).withColumnRenamed("batch", "_by")
-    if replaced.head(1):
-        # A key is replaced at most once, by the first later row that has content.
-        records = records.join(replaced, "file_key", "left").filter(F.col("_by").isNull() | (F.col("batch") >= F.col("_by"))).select(records.columns)
-    return Compacted(records, _read(spark, f"{out}/members", members_schema))
+    return Compacted(store.records(), store.read("members", f"{id_col} {dict(keyed.dtypes)[id_col]}, file_key string"))
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+_PRINTS = ["k1", "k2"]
+
+
+def _fingerprint() -> list[Column]:
+    """128 bits that stand for a key where all earlier ones are looked up."""
+    return [F.xxhash64("file_key").alias("k1"), F.xxhash64(F.lit(1), F.reverse("file_key")).alias("k2")]
+
+
+class _Store:
+    """The tables of a compacted folder, as of the batches below ``number``."""
+
+    def __init__(self, spark: SparkSession, out: str, schema: T.StructType, id_col: str):
+        self.spark, self.out, self.schema, self.id_col = spark, out, schema, id_col
+
+    def read(self, table: str, schema: str | T.StructType, number: int | None = None) -> DataFrame:
+        schema = T.StructType([*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields, T.StructField("batch", T.IntegerType())])
+        at = f"{self.out}/{table}"
+        if not exists(self.spark, at):
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).option("basePath", at).parquet(at)
+        return df if number is None else df.filter(F.col("batch") < number)
+
+    def keys(self, number: int) -> DataFrame:
+        return self.read("keys", "k1 long, k2 long, filled boolean", number)
+
+    def replaced(self, number: int | None = None, at_least: int = 0) -> DataFrame:
+        return self.read("replaced", "file_key string", number).filter(F.col("batch") >= at_least).withColumnRenamed("batch", "_by")
+
+    def _sizes(self, number: int | None) -> tuple[dict[int, int], dict[int, int]]:
+        """Bytes of each batch, and by which later one it was taken over."""
+        rows = self.read("sizes", "stored_bytes long, absorbed array<int>", number).collect()  # one row per batch
+        return {r["batch"]: r["stored_bytes"] for r in rows}, {n: r["batch"] for r in rows for n in r["absorbed"]}
+
+    def live(self, number: int | None = None) -> dict[int, int]:
+        sizes, absorbed = self._sizes(number)
+        return {n: size for n, size in sizes.items() if n not in absorbed}
+
+    def records(self, number: int | None = None, only: list[int] | None = None) -> DataFrame:
+        live = only if only is not None else sorted(self.live(number))
+        records = self.read("records", self.schema).filter(F.col("batch").isin(live))
+        replaced = self.replaced(number)
+        if replaced.head(1):
+            # A key is replaced at most once, by the first later row that has content.
+            records = records.join(replaced, "file_key", "left").filter(F.col("_by").isNull() | (F.col("batch") >= F.col("_by"))).select(records.columns)
+        return records
+
+    def clear(self, number: int) -> None:
+        """Delete what batches before the one before ``number`` took over; ``number`` would not run if they could be retried."""
+        for n, by in self._sizes(number)[1].items():
+            if by < number and exists(self.spark, f"{self.out}/records/batch={n}"):
+                delete(self.spark, f"{self.out}/records/batch={n}")
+
+
+def classes(members: DataFrame, id_col: str = "file_id") -> DataFrame:
+    """One row per stored recording: its key, the first of its listing rows and their number."""
+    return members.groupBy("file_key").agg(F.min(id_col).alias(f"first_{id_col}"), F.count("*").alias("n_listed"))
 
 
 def same_file_pairs(members: DataFrame, id_col: str = "file_id") -> DataFrame:
@@ -131,6 +188,13 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_file_pairs(compact(spark, f"{sf_dir}/speech_files.parquet", at).members)
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored recording with its listing rows and the fingerprint of its content."""
+    c = compact(spark, f"{sf_dir}/speech_files.parquet", Workspace(spark, "compact").root)
+    stored = c.records.select("file_key", "file_id", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+    return classes(c.members).join(stored, "file_key").drop("file_key")
+
+
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per output batch: recordings, listing rows and bytes, to be held against the input."""
     c = compact(spark, f"{sf_dir}/speech_files.parquet", Workspace(spark, "compact").root)
