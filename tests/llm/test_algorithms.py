@@ -124,10 +124,11 @@ def exact(vals, p):
     return vals[max(1, math.ceil(round(p * len(vals), 6))) - 1] if vals else None
 
 
-@pytest.mark.parametrize("size", [1, 2, 50, 3000])
-def test_percentiles_are_exact_and_combine_across_days(spark, monkeypatch, size):
+@pytest.mark.parametrize("size,left", [(1, 1), (2, 1 << 15), (50, 5), (3000, 20), (3000, 1 << 15)])
+def test_percentiles_are_exact_and_combine_across_days(spark, monkeypatch, size, left):
     monkeypatch.setattr(percentiles, "ROWS_AT_ONCE", 64)
     monkeypatch.setattr(percentiles, "RUN_VALUES", 40)
+    monkeypatch.setattr(percentiles, "LEFT", left)
     rng = random.Random(size)
     value = lambda: rng.choice([None, math.nan, math.inf, 0.0, 0.0, -5.0, rng.random(), rng.gauss(0, 1e6), 3.0, 3.0])
     days = [[(rng.choice(["hot", "hot", "hot", "x", None]), value()) for _ in range(size)] for _ in range(2)]
