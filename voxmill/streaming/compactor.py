@@ -95,9 +95,9 @@ def compact(
                 absorbed = sorted(n for n, size in sizes.items() if size < target_bytes // 2)
                 if absorbed:
                     earlier = [store.records(number, absorbed).join(store.replaced(number + 1, number), "file_key", "left_anti")]
-            fresh.select(*_PRINTS, filled.alias("filled")).write.mode("overwrite").parquet(f"{out}/keys/batch={number}")
+            fresh.select(*_PRINTS, filled.alias("filled"), "stored_bytes").write.mode("overwrite").parquet(f"{out}/keys/batch={number}")
             laid = reduce(DataFrame.unionByName, [fresh.select(batch.columns), *[e.select(batch.columns) for e in earlier]])
-            total = int(laid.agg(F.sum("stored_bytes")).first()[0] or 0)
+            total = sum(int(d.agg(F.sum("stored_bytes")).first()[0] or 0) for d in (store.keys(number + 1).filter(F.col("batch") == number), *earlier))
             parts = max(1, -(-total // target_bytes))
             # A range layout keeps neighbouring recordings in one file and splits a hot folder.
             laid = laid.repartitionByRange(parts, "file_key") if parts > 1 else laid.repartition(1)
@@ -134,7 +134,7 @@ class _Store:
         return df if number is None else df.filter(F.col("batch") < number)
 
     def keys(self, number: int) -> DataFrame:
-        return self.read("keys", "k1 long, k2 long, filled boolean", number)
+        return self.read("keys", "k1 long, k2 long, filled boolean, stored_bytes long", number)
 
     def replaced(self, number: int | None = None, at_least: int = 0) -> DataFrame:
         return self.read("replaced", "file_key string", number).filter(F.col("batch") >= at_least).withColumnRenamed("batch", "_by")
