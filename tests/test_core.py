@@ -15,7 +15,7 @@ from voxmill.functions import text as X
 from voxmill.operators import audit, conversations, matching, packing, scene, stats
 from voxmill.operators.ordering import hashed_rank
 from voxmill.plans import reference_queries
-from voxmill.sources import text_files, wav
+from voxmill.sources import flac, text_files, wav
 from voxmill.streaming import compactor
 
 
@@ -266,12 +266,14 @@ def test_render_then_audit(spark):
     seg = spark.createDataFrame([("s1", "p1", tone(440, fs, 0.7).tolist()), ("s2", "p2", tone(300, fs, 2).tolist()), ("s3", "p3", None)], "stem string, speaker_id string, samples array<double>")
     out = scene.render(seg, ev, bg, fs, 1.0).withColumn("mixed_id", F.monotonically_increasing_id()).cache()
     assert out.count() == 20
-    c = audit.checks(out.filter("not (stem = 's2' and ebr = 'low' and sar = 'mid')"))
+    kept = out.filter("not (stem = 's2' and ebr = 'low' and sar = 'mid')")
+    c = audit.checks(kept)
     assert sorted(r[0] for r in c.groupBy("status").count().collect()) == ["CHECKED", "MISSING"]
-    long = audit.long_checks(c, ev, bg).collect()
+    heard = audit.with_audio(c, kept)
+    long = audit.long_checks(heard, ev, bg).collect()
     assert len(long) == 17 and all(r["sar_pass"] for r in long) and all(r["ebr_pass"] in (True, None) for r in long)
     assert any(r["ebr_pass"] for r in long)
-    assert tuple(audit.totals(c.join(audit.long_checks(c, ev, bg).select("stem", "ebr", "sar", "sar_pass", "ebr_pass"), ["stem", "ebr", "sar"], "left")).first()) == (18, 1)
+    assert tuple(audit.totals(c.join(audit.long_checks(heard, ev, bg).select("stem", "ebr", "sar", "sar_pass", "ebr_pass"), ["stem", "ebr", "sar"], "left")).first()) == (18, 1)
     with pytest.raises(ValueError):
         scene.render(seg, ev[:, :10], bg, fs, 1.0)
 
@@ -427,13 +429,57 @@ def test_summary_of_nothing(spark):
 def test_wav_round_trip(spark, tmp_path):
     x = np.stack([tone(440, 8000, 0.1), tone(220, 8000, 0.1)])
     df = spark.createDataFrame([("a/x.wav", 8000, x.tolist())], "name string, sr int, channels array<array<double>>")
-    assert wav.write_wav(df, str(tmp_path)).count() == 1
+    assert wav.write_audio(df, str(tmp_path)).count() == 1
     (tmp_path / "bad.wav").write_bytes(b"nothing")
     rows = {r["path"].rsplit("/", 1)[-1]: r for r in wav.read_audio(spark, str(tmp_path)).collect()}
     assert rows["x.wav"]["sr"] == 8000 and rows["x.wav"]["n_channels"] == 2 and np.abs(np.array(rows["x.wav"]["channels"]) - x).max() < 1 / 32768
     assert rows["bad.wav"]["error"] and rows["bad.wav"]["sr"] is None
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 3), st.integers(0, 9000), st.sampled_from([0.0, 0.001, 0.3, 2.0]))
+def test_flac_round_trip(channels, n, loud):
+    x = np.random.default_rng(n).normal(0, loud, (channels, n))
+    x[:, n // 2 :] = 0
+    data = flac.encode(x, 44100)
+    y, rate = flac.decode(data)
+    assert rate == 44100 and y.shape == x.shape and np.array_equal(y, np.clip(np.round(x * 32768), -32768, 32767) / 32768)
+    assert wav.HEADERS["flac"](data[:42]) == (44100, channels, n) == wav.HEADERS["wav"](wav.encode_wav(x, 44100))
+
+
+def test_flac_predictors():
+    rng = np.random.default_rng(2)
+    for order in range(5):
+        x = rng.integers(-1000, 1000, 50)
+        assert np.array_equal(flac._integrated(x[:order], np.diff(x, order), order), x)
+    weights, shift = [3, -2, 5], 2  # newest sample last
+    x = [4, 5, 6]
+    for e in rng.integers(-9, 9, 40).tolist():
+        x.append(e + (sum(w * v for w, v in zip(weights, x[-3:])) >> shift) % 1000)
+    rest = [x[i] - (sum(w * v for w, v in zip(weights, x[i - 3 : i])) >> shift) for i in range(3, len(x))]
+    assert flac._predicted(x[:3], rest, weights, shift).tolist() == x
+
+
+def test_damaged_flac_is_refused():
+    data = bytearray(flac.encode(np.random.default_rng(1).normal(0, 0.1, (1, 5000)), 8000))
+    data[200] ^= 4
+    with pytest.raises(ValueError):
+        flac.decode(bytes(data))
+    with pytest.raises(ValueError):
+        flac.decode(bytes(data[:150]))
+
+
+def test_headers_only(spark, tmp_path):
+    x = np.stack([tone(440, 8000, 0.1), tone(220, 8000, 0.1)])
+    (tmp_path / "a.flac").write_bytes(flac.encode(x, 8000))
+    (tmp_path / "b.wav").write_bytes(wav.encode_wav(x, 8000))
+    (tmp_path / "c.flac").write_bytes(b"nothing")
+    rows = {r["path"].rsplit("/", 1)[-1]: r for r in wav.read_audio(spark, str(tmp_path), samples=False).collect()}
+    assert all((rows[n]["sr"], rows[n]["n_channels"], rows[n]["n_samples"], rows[n]["channels"]) == (8000, 2, 800, None) for n in ("a.flac", "b.wav")) and rows["c.flac"]["error"]
+    full = {r["path"].rsplit("/", 1)[-1]: r for r in wav.read_audio(spark, str(tmp_path)).collect()}
+    assert full["a.flac"]["channels"] == full["b.wav"]["channels"] and full["a.flac"]["duration"] == 0.1
+
+
 def test_manifests_and_chat(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"audio_filepath": "wav/12_x/a.flac", "duration": "8.5", "k": 1}\n\n{"audio_filepath": "wav/13_x/b.flac", "duration": 20}\nnothing\n')
     got = text_files.read_manifests(spark, [f"{tmp_path}/m.json"], "/root/d", 8, 10).collect()

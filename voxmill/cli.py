@@ -1,4 +1,4 @@
-"""Command line: nine subcommands over corpora of WAV and text files in shared folders."""
+"""Command line: nine subcommands over corpora of FLAC or WAV and text files in shared folders."""
 
 from __future__ import annotations
 
@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     mix = add("mix", "render segments in all conditions", "events_path", "background_path", "vctk_path", "out_dataset_path")
     mix.add_argument("--sr", type=int, default=48000)
     mix.add_argument("--segment_duration", type=float, default=60)
+    mix.add_argument("--audio_files", action="store_true", help="also write each condition as an audio file")
     add("vad", "frame-level activity of the clean files", "dataset_path")
     level = add("office-level", "level of two clips together", "keyboard_path", "office_path", "output_path")
     level.add_argument("--sr", type=int, default=48000)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +38,7 @@ RENDERED = T.StructType(
         T.StructField("sar", T.StringType()),
         T.StructField("pan", T.DoubleType()),
         T.StructField("sr", T.IntegerType()),
-        T.StructField("channels", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        T.StructField("channels", T.ArrayType(T.ArrayType(T.ShortType()))),
     ]
 )
 
@@ -48,7 +47,8 @@ def render(segments: DataFrame, events, background, sr: int, segment_s: float, p
     """Ten rows per segment (stem, speaker_id, samples): room, level, and mix with cuts of the two source clips.
 
     ``events`` and ``background`` are (2, n) arrays at ``sr``; both travel once to each executor. The
-    room convolution and the level of a segment are computed once, not per condition. A clip not
+    room convolution and the level of a segment are computed once, not per condition. Samples come
+    out as 16-bit integers, one condition at a time, so a task holds a few copies of one segment. A clip not
     longer than the segment is refused. Null or empty sample arrays give no rows.
     """
     import numpy as np
@@ -61,32 +61,42 @@ def render(segments: DataFrame, events, background, sr: int, segment_s: float, p
         if c.shape[1] <= n:
             raise ValueError(f"the {name} clip must be longer than a segment")
     shared = segments.sparkSession.sparkContext.broadcast(clips)
-    conditions = [(e, s) for e in EBRS for s in SARS]
 
     def run(batches):
-        import hashlib
+        import pyarrow as pa
 
-        from voxmill.functions import kernels
-
-        def start(stem: str, ebr: str, sar: str, clip: str, most: int) -> int:
-            return int(hashlib.md5("|".join([str(seed), stem, ebr, sar, clip]).encode()).hexdigest()[:12], 16) % most
+        from voxmill.functions.arrays import nested, pcm
 
         for b in batches:
-            for stem, who, samples in zip(b["stem"], b["speaker_id"], b["samples"]):
-                if samples is None or not len(samples):
+            for stem, who, samples in zip(b.column("stem").to_pylist(), b.column("speaker_id").to_pylist(), b.column("samples")):
+                if not samples.is_valid or not len(samples):
                     continue
-                x = np.asarray(samples, float)
-                wet = kernels.in_room(x / (np.abs(x).max() + 1e-9), sr, pan)
-                wet = wet[:, :n] if wet.shape[1] > n else np.pad(wet, ((0, 0), ((n - wet.shape[1]) // 2, n - wet.shape[1] - (n - wet.shape[1]) // 2)))
-                wet = wet * 10 ** ((SPEECH_LEVEL - kernels.level_db(wet, sr)) / 20)
-                rows = [(stem, who, "none", "none", pan, sr, wet.tolist())]
-                for e, s in conditions:
-                    cut = {k: c[:, (o := start(stem, e, s, k, c.shape[1] - n)) : o + n] for k, c in shared.value.items()}
-                    y = kernels.mix_scene(wet, cut["events"], cut["background"], sr, EBRS[e], SARS[s])
-                    rows.append((stem, who, e, s, pan, sr, y.tolist()))
-                yield pd.DataFrame(rows, columns=RENDERED.names)
-
-    return segments.select("stem", "speaker_id", "samples").mapInPandas(run, RENDERED)
+                for ebr, sar, y in renderings(samples.values.to_numpy(zero_copy_only=False), stem, shared.value, sr, n, pan, seed):
+                    row = [pa.array([v], t) for v, t in zip((stem, who, ebr, sar, pan, sr), (pa.string(),) * 4 + (pa.float64(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*row, nested([pcm(y)], "int16")], RENDERED.names)
+
+    return segments.select("stem", "speaker_id", "samples").mapInArrow(run, RENDERED)
+
+
+def renderings(x, stem: str, clips: dict, sr: int, n: int, pan: float, seed: int):
+    """(ebr, sar, (2, n) samples) of a segment in each condition, the clean one first."""
+    import hashlib
+
+    import numpy as np
+
+    from voxmill.functions import kernels
+
+    def start(ebr: str, sar: str, clip: str, most: int) -> int:
+        return int(hashlib.md5("|".join([str(seed), stem, ebr, sar, clip]).encode()).hexdigest()[:12], 16) % most
+
+    wet = kernels.in_room(x / (np.abs(x).max() + 1e-9), sr, pan)
+    wet = wet[:, :n] if wet.shape[1] > n else np.pad(wet, ((0, 0), ((n - wet.shape[1]) // 2, n - wet.shape[1] - (n - wet.shape[1]) // 2)))
+    wet = wet * 10 ** ((SPEECH_LEVEL - kernels.level_db(wet, sr)) / 20)
+    yield "none", "none", wet
+    for e, e_db in EBRS.items():
+        for s, s_db in SARS.items():
+            cut = {k: c[:, (o := start(e, s, k, c.shape[1] - n)) : o + n] for k, c in clips.items()}
+            yield e, s, kernels.mix_scene(wet, cut["events"], cut["background"], sr, e_db, s_db)
 
 
 def office_level(keyboard, office, sr: int) -> tuple[float, "object"]:
