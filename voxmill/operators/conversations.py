@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmill.operators.groups import map_groups
+
 # Band of a conversation's length, gap, longest turn (seconds), and attempts.
 LEAST_S, MOST_S, GAP_S, MAX_TURN_S, ATTEMPTS = 48.0, 60.0, 0.5, 20.0, 1000
 
@@ -78,10 +79,10 @@ def build(items: DataFrame, pairs: DataFrame, speaker: str, item: str, duration:
     side = pairs.select("pair_no", F.explode(F.array(F.struct(F.col("a").alias("s"), F.lit(0).alias("side")), F.struct(F.col("b").alias("s"), F.lit(1).alias("side")))).alias("x")).select("pair_no", "x.s", "x.side")
     t = pool.join(side, "s")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        pair, chunk = int(pdf["pair_no"].iat[0]), 0
-        pools = [Pool(list(zip(g["s"], g["i"], g["d"]))) for g in (pdf[pdf["side"] == k] for k in (0, 1))]
+    def build_pair(g: dict[str, list]) -> dict[str, list]:
+        pair, chunk = g["pair_no"][0], 0
+        rows_of = list(zip(g["side"], g["s"], g["i"], g["d"]))
+        pools = [Pool([x[1:] for x in rows_of if x[0] == k]) for k in (0, 1)]
         rng = random.Random(f"{seed}|{pair}|{chunk}")
         rows, conv = [], 0
         while pools[0].items and pools[1].items:
@@ -106,10 +107,11 @@ def build(items: DataFrame, pairs: DataFrame, speaker: str, item: str, duration:
                 for p in pools:
                     p.drop(i)
             conv += 1
-        return pd.DataFrame(rows, columns=["pair_no", "part", "conv", "turn", "speaker", "item", "start_s", "dur", "total_s"])
+        names = ["pair_no", "part", "conv", "turn", "speaker", "item", "start_s", "dur", "total_s"]
+        return dict(zip(names, zip(*rows))) if rows else {}
 
     schema = f"pair_no long, part int, conv int, turn int, speaker {kinds[speaker]}, item {kinds[item]}, start_s double, dur double, total_s double"
-    return t.groupBy("pair_no").applyInPandas(run, schema)
+    return map_groups(t.select("pair_no", "side", "s", "i", "d"), "pair_no", ["i", "side", "d"], build_pair, schema)
 
 
 def timeline(turns: DataFrame, conv: list[str], order: str, duration: str) -> DataFrame:

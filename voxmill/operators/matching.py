@@ -8,10 +8,11 @@ import math
 import random
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmill.operators.groups import map_groups
+
 # Tolerance band around a target length, and tries per target.
 LOW, HIGH, TRIES = 0.8, 1.2, 20
 #: Buckets that the utterances of no known speaker are numbered in.
@@ -90,13 +91,12 @@ def match(utterances: DataFrame, targets: list[int] | dict[int, int], speaker: s
     upto = list(itertools.accumulate(counts[n] for n in values))
     ready = utterances.filter(F.col(length) > 0).select(F.col(speaker).alias("speaker"), F.col(item).alias("item"), F.col(length).cast("int").alias("length"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["item", "length"], kind="stable")
-        who = pdf["speaker"].iat[0]
+    def build(group: dict[str, list]) -> dict[str, list]:
+        who = group["speaker"][0]
         rng = random.Random(f"{seed}|{who}|0")
-        items = list(zip(pdf["item"], pdf["length"]))
+        lengths = group["length"]
         rows, g = [], 0
-        pool = Pool(pdf["length"].tolist() if values else [])
+        pool = Pool(lengths if values else [])
         while pool.upto[-1]:
             target = rng.choices(values, cum_weights=upto)[0]
             best = None
@@ -109,14 +109,16 @@ def match(utterances: DataFrame, targets: list[int] | dict[int, int], speaker: s
                 if total == target:  # no later try is better
                     break
             pool.drop(best[1])
-            rows += [(who, 0, g, k, *items[i], target) for k, i in enumerate(best[1])]
+            rows += [(g, k, i, target) for k, i in enumerate(best[1])]
             g += 1
         if not values:
-            rows = [(who, 0, k, 0, *x, None) for k, x in enumerate(items)]
-        return pd.DataFrame(rows, columns=["speaker", "part", "group_no", "pos", "item", "length", "target"]).astype({"target": "Int32"})
+            rows = [(k, 0, k, None) for k in range(len(lengths))]
+        number, pos, of, target = zip(*rows)
+        n = len(rows)
+        return {"speaker": [who] * n, "part": [0] * n, "group_no": number, "pos": pos, "item": [group["item"][i] for i in of], "length": [lengths[i] for i in of], "target": target}
 
     schema = f"speaker {kinds[speaker]}, part int, group_no int, pos int, item {kinds[item]}, length int, target int"
-    known = ready.filter("speaker is not null").groupBy("speaker").applyInPandas(run, schema)
+    known = map_groups(ready.filter("speaker is not null"), "speaker", ["item", "length"], build, schema)
     alone = ready.filter("speaker is null").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(BUCKETS)).cast("int"))
     alone = alone.withColumn("group_no", F.row_number().over(Window.partitionBy("part").orderBy("item", "length")) - 1)
     return known.unionByName(alone.select("speaker", "part", "group_no", F.lit(0).alias("pos"), "item", "length", F.lit(None).cast("int").alias("target")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.operators.groups import map_groups
+
 # Segment cap and floor, and the gap between items, in seconds.
 CAP_S, FLOOR_S, GAP_S = 60.0, 45.0, 0.1
 
@@ -76,26 +77,23 @@ def pack(items: DataFrame, speaker: str, item: str, duration: str, order: list[s
     """
     kind = dict(items.dtypes)
     short = items.filter((F.col(duration) > 0) & (F.col(duration) < FLOOR_S) & ~F.isnan(duration))
-    by = [F.col(c) for c in (order or [item])]
-    rank = F.row_number().over(Window.partitionBy(speaker).orderBy(*by))
-    ready = short.select(F.col(speaker).alias("speaker"), F.lit(0).alias("pool"), rank.alias("_rank"), F.col(item).alias("item"), F.col(duration).cast("double").alias("dur"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
-        dur = pdf["dur"].tolist()
-        rows = []
+    by = [F.col(c).alias(f"_o{k}") for k, c in enumerate(order or [item])]
+    ready = short.select(F.col(speaker).alias("speaker"), F.col(item).alias("item"), F.col(duration).cast("double").alias("dur"), *by)
+
+    def build(g: dict[str, list]) -> dict[str, list]:
+        dur, out = g["dur"], {n: [] for n in ("buf", "pos", "item", "offset_s", "dur", "buf_len", "kept")}
         for b, taken in enumerate(first_fit(dur)):
             at, offsets = 0.0, []
             for n, i in enumerate(taken):
                 at = at + GAP_S if n else at
                 offsets.append(at)
                 at += dur[i]
-            rows += [(i, b, n, o, at, at >= FLOOR_S) for n, (i, o) in enumerate(zip(taken, offsets))]
-        got = pd.DataFrame(rows, columns=["i", "buf", "pos", "offset_s", "buf_len", "kept"])
-        src = pdf.iloc[got["i"].to_numpy()].reset_index(drop=True)
-        return pd.DataFrame({"speaker": src["speaker"], "pool": src["pool"], "buf": got["buf"], "pos": got["pos"], "item": src["item"], "offset_s": got["offset_s"], "dur": src["dur"], "buf_len": got["buf_len"], "kept": got["kept"]})
+            n = len(taken)
+            for name, v in (("buf", [b] * n), ("pos", range(n)), ("item", [g["item"][i] for i in taken]), ("offset_s", offsets), ("dur", [dur[i] for i in taken]), ("buf_len", [at] * n), ("kept", [at >= FLOOR_S] * n)):
+                out[name].extend(v)
+        return out | {"speaker": g["speaker"], "pool": [0] * len(dur)}
 
-    return ready.groupBy("speaker", "pool").applyInPandas(run, PACKED.format(s=kind[speaker], i=kind[item]))
+    return map_groups(ready, "speaker", [f"_o{k}" for k in range(len(by))], build, PACKED.format(s=kind[speaker], i=kind[item]))
 
 
 def buffers(packed: DataFrame) -> DataFrame:
