@@ -13,7 +13,7 @@ from voxmill.functions import ids, kernels, paths
 from voxmill.functions import signal as S
 from voxmill.functions import text as X
 from voxmill.operators import audit, conversations, matching, packing, scene, stats
-from voxmill.operators.ordering import hashed_rank
+from voxmill.operators.ordering import hashed_rank, sorted_rank
 from voxmill.plans import reference_queries
 from voxmill.sources import flac, text_files, wav
 from voxmill.streaming import compactor
@@ -93,6 +93,55 @@ def test_hashed_rank_equals_a_window(spark):
             before += r[2]
 
 
+def test_sorted_rank_and_pairs(spark):
+    rows = [f"s{i * 37 % 1001:04d}" for i in range(1001)]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+    got = {r["s"]: r["rank"] for r in sorted_rank(df, ["s"]).collect()}
+    assert got == {s: i for i, s in enumerate(sorted(rows))}
+    pairs = {tuple(r) for r in conversations.speaker_pairs(df.union(df).union(spark.createDataFrame([(None,)], "s string")), "s").collect()}
+    assert pairs == {(i, *sorted(rows)[2 * i : 2 * i + 2]) for i in range(500)}
+
+
+@pytest.mark.parametrize("size", [3, 7, 4096])
+def test_turn_runs_across_chunks(spark, monkeypatch, size):
+    monkeypatch.setattr(stats, "CHUNK", size)
+    rng = random.Random(size)
+    rows = [(f, i, rng.choice(["A", "A", "A", "B", None]), rng.choice([0, 1, 2])) for f in ("x", None) for i in rng.sample(range(300), 150)]
+    want = []
+    for f in ("x", None):
+        n, last = 0, object()
+        for _, i, who, words in sorted((r for r in rows if r[0] == f), key=lambda r: r[1]):
+            if words and who != last:
+                n, last = n + 1, who
+                want.append([f, n, who, 0])
+            if words:
+                want[-1][3] += words
+    df = spark.createDataFrame(rows, "file string, idx int, who string, words int")
+    runs = stats.turn_runs(df, "file", "who", F.col("words"), ["idx"])
+    assert sorted([list(r) for r in runs.collect()], key=repr) == sorted(want, key=repr)
+    got = {(r["file"], r["i"]): (r["mean"], r["std"]) for r in stats.running(runs, ["file"], "run", "n_words", 20).collect()}
+    for f in ("x", None):
+        n = [w[3] for w in want if w[0] == f]
+        for i in {*range(20, len(n) + 1, 20), len(n)}:
+            assert np.allclose(got.pop((f, i)), (np.mean(n[:i]), np.std(n[:i])), atol=1e-6)
+    assert not got
+
+
+def test_faults_are_found(spark):
+    e = spark.createDataFrame([(u, 100 * u + i, 3.0 + i % 9) for u in range(4) for i in range(60)], "user_id long, event_id long, value double")
+    packed = packing.pack(e, "user_id", "event_id", "value")
+    assert packing.broken(packed, e, "user_id", "event_id", "value").count() == 0
+    assert packing.broken(packed.filter("item <> 105"), e, "user_id", "event_id", "value").count() >= 1
+    built = conversations.build(e, conversations.speaker_pairs(e, "user_id"), "user_id", "event_id", "value")
+    assert built.count() > 0 and conversations.broken(built, e, "user_id", "event_id", "value").count() == 0
+    assert conversations.broken(built.withColumn("total_s", F.lit(61.0)), e, "user_id", "event_id", "value").filter("fault = 'length'").count() > 0
+    assert conversations.broken(built.withColumn("speaker", F.lit(1)), e, "user_id", "event_id", "value").filter("fault = 'turns'").count() > 0
+    u = e.withColumn("n", F.lit(5))
+    groups = matching.match(u, [9, 10], "user_id", "event_id", "n")
+    assert matching.broken(groups, u, "user_id", "event_id", "n").count() == 0
+    assert {r["n"] for r in matching.broken(groups.union(groups.limit(1)), u, "user_id", "event_id", "n").collect()} == {2}
+
+
 # --- compaction ---
 
 FILES = "file_id long, speaker_id string, flac_path string, txt_path string, n_bytes long, content string, batch string, file_key string"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmill.operators.groups import map_groups
+from voxmill.operators.ordering import sorted_rank
 
 # Band of a conversation's length, gap, longest turn (seconds), and attempts.
 LEAST_S, MOST_S, GAP_S, MAX_TURN_S, ATTEMPTS = 48.0, 60.0, 0.5, 20.0, 1000
@@ -14,10 +15,10 @@ LEAST_S, MOST_S, GAP_S, MAX_TURN_S, ATTEMPTS = 48.0, 60.0, 0.5, 20.0, 1000
 def speaker_pairs(speakers: DataFrame, col: str) -> DataFrame:
     """(pair_no, a, b): neighbours in sorted order, the last of an odd number left out.
 
-    Ranks come from one sorted list of the distinct speakers, which is small beside their rows.
+    Ranks come from sorted ranges of the distinct speakers, which are numbered side by side.
     """
-    ranked = speakers.select(F.col(col).alias("s")).filter("s is not null").distinct().withColumn("rn", F.row_number().over(Window.orderBy("s")))
-    pairs = ranked.groupBy(F.floor((F.col("rn") - 1) / 2).cast("long").alias("pair_no")).agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n"))
+    ranked = sorted_rank(speakers.select(F.col(col).alias("s")).filter("s is not null").distinct(), ["s"])
+    pairs = ranked.groupBy(F.floor(F.col("rank") / 2).cast("long").alias("pair_no")).agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n"))
     return pairs.filter("n = 2").drop("n")
 
 
@@ -114,6 +115,19 @@ def build(items: DataFrame, pairs: DataFrame, speaker: str, item: str, duration:
     return map_groups(t.select("pair_no", "side", "s", "i", "d"), "pair_no", ["i", "side", "d"], build_pair, schema)
 
 
+def broken(built: DataFrame, items: DataFrame, speaker: str, item: str, duration: str) -> DataFrame:
+    """(pair_no, conv, fault): conversations out of the band, turns that do not alternate or repeat an item; empty if all is well."""
+    order = Window.partitionBy("pair_no", "conv").orderBy("turn")
+    t = built.withColumn("_same", F.lag("speaker").over(order).eqNullSafe(F.col("speaker")) & (F.col("turn") > 0)).withColumn("_end", F.col("start_s") + F.col("dur"))
+    c = t.groupBy("pair_no", "conv").agg(F.max("_end").alias("end"), F.max("total_s").alias("total"), F.bool_or("_same").alias("same"), F.count_distinct("speaker").alias("who"), F.max("turn").alias("last"), F.count("*").alias("n"))
+    band = ~F.col("total").between(LEAST_S - 1e-9, MOST_S + 1e-9) | (F.abs(F.col("end") - F.col("total")) > 1e-6)
+    faults = c.select("pair_no", "conv", F.when(band, "length").when(F.col("same") | (F.col("who") > 2) | (F.col("n") != F.col("last") + 1), "turns").alias("fault")).filter("fault is not null")
+    used = built.groupBy("speaker", "item").agg(F.count("*").alias("n"), F.min("pair_no").alias("pair_no"), F.min("conv").alias("conv"))
+    own = items.groupBy(F.col(speaker).alias("_s"), F.col(item).alias("_i")).agg(F.count("*").alias("have"), F.max(duration).alias("_d"))
+    again = used.join(own, (F.col("speaker") == F.col("_s")) & (F.col("item") == F.col("_i")), "left").filter(F.col("have").isNull() | (F.col("n") > F.col("have")) | (F.col("_d") > MAX_TURN_S))
+    return faults.unionByName(again.select("pair_no", "conv", F.lit("item").alias("fault")))
+
+
 def timeline(turns: DataFrame, conv: list[str], order: str, duration: str) -> DataFrame:
     """Add ``start_s``, and ``shifted_s`` in a segment centred in the most allowed length.
 

@@ -122,3 +122,11 @@ def match(utterances: DataFrame, targets: list[int] | dict[int, int], speaker: s
     alone = ready.filter("speaker is null").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(BUCKETS)).cast("int"))
     alone = alone.withColumn("group_no", F.row_number().over(Window.partitionBy("part").orderBy("item", "length")) - 1)
     return known.unionByName(alone.select("speaker", "part", "group_no", F.lit(0).alias("pos"), "item", "length", F.lit(None).cast("int").alias("target")))
+
+
+def broken(groups: DataFrame, utterances: DataFrame, speaker: str, item: str, length: str) -> DataFrame:
+    """(item, n, groups): utterances that are not in exactly one group of their own speaker; empty if all is well."""
+    want = utterances.filter(F.col(length) > 0).groupBy(F.col(speaker).alias("_s"), F.col(item).alias("_i")).agg(F.count("*").alias("want"))
+    got = groups.groupBy("speaker", "item").agg(F.count("*").alias("n"))
+    odd = want.join(got, F.col("_s").eqNullSafe(F.col("speaker")) & F.col("_i").eqNullSafe(F.col("item")), "full")
+    return odd.filter(~F.col("want").eqNullSafe(F.col("n"))).select(F.coalesce("item", "_i").alias("item"), F.coalesce("want", F.lit(0)).alias("want"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmill.runtime import Workspace
+
 
 def hashed_rank(
     df: DataFrame, keys: list[str], order: Column, tie: list[str], rows: int, weight: str | None = None, bucket_rows: int = 100_000
@@ -44,3 +46,18 @@ def hashed_rank(
             out = out.withColumn("before", F.col("before") + F.col("_w0"))
         out = out.drop(*[f"_k_{k}" for k in keys], "_k_b", "_n0", "_w0")
     return out.drop("_h", "_b")
+
+
+def sorted_rank(df: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``rank`` (0-based) in the order of ``by`` over all rows: ranges of the order are numbered side by side.
+
+    The ranges are stored once, since their borders are sampled; only their sizes are summed up in one task.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = Workspace(spark, "ranks").save(df.repartitionByRange(parts, *by).withColumn("_p", F.spark_partition_id()), "laid")
+    sizes = laid.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*by))
+    return laid.withColumn("rank", inside - 1).join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn("rank", F.col("rank") + F.col("_o")).drop("_p", "_q", "_o")

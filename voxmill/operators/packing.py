@@ -102,3 +102,14 @@ def buffers(packed: DataFrame) -> DataFrame:
         F.min_by("item", "pos").alias("first_item"), F.max_by("item", "pos").alias("last_item"),
         F.count("*").alias("n_items"), F.max("buf_len").alias("len_s"), F.bool_and("kept").alias("kept"),
     )
+
+
+def broken(packed: DataFrame, items: DataFrame, speaker: str, item: str, duration: str) -> DataFrame:
+    """(item, fault): items not packed exactly once, and buffers above the cap or with a wrong length; empty if all is well."""
+    want = items.filter((F.col(duration) > 0) & (F.col(duration) < FLOOR_S) & ~F.isnan(duration)).select(F.col(speaker).alias("_s"), F.col(item).alias("_i"))
+    want = want.groupBy("_s", "_i").agg(F.count("*").alias("want"))
+    got = packed.groupBy("speaker", "item").agg(F.count("*").alias("n"))
+    odd = want.join(got, F.col("_s").eqNullSafe(F.col("speaker")) & F.col("_i").eqNullSafe(F.col("item")), "full").filter(~F.col("want").eqNullSafe(F.col("n")))
+    b = packed.groupBy("speaker", "buf").agg(F.max("buf_len").alias("len"), (F.sum("dur") + GAP_S * (F.count("*") - 1)).alias("sum"), F.min("item").alias("item"), F.bool_and("kept").alias("kept"))
+    bad = (F.col("len") > CAP_S + 1e-6) | (F.abs(F.col("len") - F.col("sum")) > 1e-6) | (F.col("kept") != (F.col("len") >= FLOOR_S))
+    return odd.select(F.coalesce("item", "_i").alias("item"), F.lit("times").alias("fault")).unionByName(b.filter(bad).select("item", F.lit("buffer").alias("fault")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from voxmill.functions import text as X
 from voxmill.functions.arrays import as_signal, nested, pcm, signals
 from voxmill.operators import audit, conversations, matching, packing, scene, stats
+from voxmill.operators.ordering import sorted_rank
 from voxmill.runtime import Workspace, exists
 from voxmill.sources import files, text_files, wav
 
@@ -192,14 +193,13 @@ def multispeaker_group(spark: SparkSession, groups_path: str, input_vctk_dir: st
 
 
 def multispeaker_conversations(spark: SparkSession, input_vctk_dir: str, output_vctk_dir: str) -> None:
-    from pyspark.sql import Window
-
     _copy_info(spark, input_vctk_dir, output_vctk_dir)
     cat = _catalogue(spark, input_vctk_dir)
     items = cat.filter("text is not null").select("speaker", "name", "duration")
     pairs = conversations.speaker_pairs(items.filter(F.col("duration") <= conversations.MAX_TURN_S), "speaker")
     built = conversations.build(items, pairs, "speaker", "name", "duration")
-    ids = built.select("pair_no", "part", "conv").distinct().withColumn("number", F.row_number().over(Window.orderBy("pair_no", "part", "conv")) - 1)  # one row per conversation
+    built = Workspace(spark, "conversations").save(built, "built")
+    ids = sorted_rank(built.select("pair_no", "part", "conv").distinct(), ["pair_no", "part", "conv"]).withColumnRenamed("rank", "number")
     name = F.concat_ws("/", F.concat_ws("-", "a", "b"), F.concat(X.conversation_name(F.col("a"), F.col("b"), F.col("number")), F.lit("_mic1")))
     plan = built.join(ids, ["pair_no", "part", "conv"]).join(pairs, "pair_no").select(name.alias("segment"), F.col("turn").alias("pos"), F.col("item").alias("file"), "speaker")
     _write(_assemble(plan, cat, conversations.GAP_S, conversations.MOST_S, None, 0.0), output_vctk_dir, turns=True)

@@ -6,12 +6,13 @@ for waveforms; the other queries run on the tables of the domain itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.functions import signal as S
 from voxmill.functions import text as X
 from voxmill.operators import audit, catalog, conversations, matching, packing, scene, stats
+from voxmill.operators.ordering import sorted_rank
 
 FS = 16_000
 R = 6  # digits that doubles are rounded to before they are compared
@@ -114,11 +115,17 @@ def length_histogram(spark, d):
     return stats.histograms({"calls": _turn_lengths(spark, d).select("n_words"), "corpus": u, "built": t})
 
 
-def running_match_stats(spark, d):
-    r = stats.running(_turn_lengths(spark, d), ["file"], ["run"], "n_words", 50)
+def running_turn_stats(spark, d):
+    r = stats.running(_turn_lengths(spark, d), ["file"], "run", "n_words", 50)
     return r.select("file", F.col("i").cast("long").alias("i"), "mean", "std")
 
 
+def running_match_stats(spark, d):
+    """Running mean and deviation of the matched groups' lengths, speaker by speaker."""
+    g = match_groups(spark, d).groupBy("speaker", "part", "group_no").agg(F.sum("length").alias("n"))
+    return stats.running(g, ["speaker", "part"], "group_no", "n", 50).select("speaker", "part", F.col("i").cast("long").alias("i"), "mean", "std")
+
+
 def first_m_per_speaker(spark, d):
     return catalog.first_m_of_first_n(_t(spark, d, "mixed"), "speaker_id", ["stem", "mixed_id"], 5, 2).select("speaker_id", "stem", "mixed_id", "rn")
 
@@ -184,6 +191,20 @@ def match_groups(spark, d):
     return matching.match(u, lengths, "speaker", "row_id", "n")
 
 
+def pack_broken(spark, d):
+    u = catalog.first_microphone(_t(spark, d, "utterances"))
+    return packing.broken(packing.pack(u, "speaker", "row_id", "duration", ["path", "row_id"]), u, "speaker", "row_id", "duration")
+
+
+def match_broken(spark, d):
+    u = catalog.first_microphone(_t(spark, d, "utterances")).select("speaker", "row_id", F.size(X.clean_words(F.col("text"))).alias("n"))
+    return matching.broken(match_groups(spark, d), u, "speaker", "row_id", "n")
+
+
+def conversations_broken(spark, d):
+    return conversations.broken(conversations_built(spark, d), _t(spark, d, "events"), "user_id", "event_id", "value")
+
+
 def speaker_pairs(spark, d):
     return conversations.speaker_pairs(_t(spark, d, "speakers"), "speaker_id")
 
@@ -246,11 +267,13 @@ def _vec(spark, d) -> DataFrame:
 
 
 def _triples(spark, d) -> DataFrame:
-    """Each vector with the next two, around the end; neighbours by an equi join on their rank."""
-    v = _vec(spark, d).withColumn("i", F.row_number().over(Window.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    b = v.select(F.pmod(F.col("i") - 1, F.col("n")).alias("i"), F.col("a").alias("b"))
-    c = v.select(F.pmod(F.col("i") - 2, F.col("n")).alias("i"), F.col("a").alias("c"))
-    return v.join(b, "i").join(c, "i").select("vec_id", "a", "b", "c")
+    """Each vector with the next two, around the end: the ids are ranked, and the arrays join them last."""
+    ids = sorted_rank(_t(spark, d, "embeddings").select("vec_id"), ["vec_id"])
+    n = ids.count()
+    after = lambda k, name: ids.select(F.pmod(F.col("rank") - k, F.lit(max(1, n))).alias("rank"), F.col("vec_id").alias(name))
+    next_ = ids.join(after(1, "b_id"), "rank").join(after(2, "c_id"), "rank").drop("rank")
+    v = lambda name, by: _vec(spark, d).select(F.col("vec_id").alias(by), F.col("a").alias(name))
+    return next_.join(v("a", "vec_id"), "vec_id").join(v("b", "b_id"), "b_id").join(v("c", "c_id"), "c_id").select("vec_id", "a", "b", "c")
 
 
 def level_db(spark, d):
@@ -321,7 +344,7 @@ QUERIES = {
     for f in (
         pack_first_fit, scan_duration_range, manifest_json_extract, catalog_join, semi_join_available, anti_join_missing, speaker_pool,
         missing_counters, name_parts, clean_words, clean_documents, clean_transcript_tokens, turn_runs, length_stats, length_histogram,
-        running_match_stats, first_m_per_speaker, turn_transcripts, write_once_transcripts, pack_summary, pack_unused, pack_timeline,
+        running_turn_stats, running_match_stats, pack_broken, match_broken, conversations_broken, first_m_per_speaker, turn_transcripts, write_once_transcripts, pack_summary, pack_unused, pack_timeline,
         unused_audio_pct, pack_utterances, match_groups, speaker_pairs, conversation_attempt, conversations_built, conversation_timeline,
         condition_grid, segment_offsets, completeness_audit, audit_levels, audit_totals, level_db, normalize_gain, fade_pad_concat,
         mix_scene_levels, activity_frames, tile_average, localize_offset, unmix_fit,
@@ -472,7 +495,10 @@ ORACLES = {
           union all select len({_CLEAN}), 'built' from turns where len({_CLEAN}) > 0)
         select value, count(*) filter (tag = 'calls') as n_calls, count(*) filter (tag = 'corpus') as n_corpus, count(*) filter (tag = 'built') as n_built
         from every where value <= 40 group by 1""",
-    "running_match_stats": f"""
+    "pack_broken": "select 0::bigint as item, '' as fault where false",
+    "match_broken": "select 0::bigint as item, 0::bigint as want, 0::bigint as n where false",
+    "conversations_broken": "select 0::bigint as pair_no, 0::int as conv, '' as fault where false",
+    "running_turn_stats": f"""
         with {_RUNS},
         s as (select file, row_number() over w as i, round(avg(n_words) over w, 6) as mean, round(stddev_pop(n_words) over w, 6) as std, count(*) over (partition by file) as n
           from runs window w as (partition by file order by run rows unbounded preceding))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_OPEN: dict[str, SparkSession] = {}
+
+
+def delete_workspaces(spark: SparkSession) -> None:
+    """Delete all workspaces of this driver; results that were not stored yet can't be read afterwards."""
+    for root in list(_OPEN):
+        if _OPEN[root].sparkContext is spark.sparkContext:
+            del _OPEN[root]
+            delete(spark, root)
+
+
+def _at_exit() -> None:
+    for spark in {id(s.sparkContext): s for s in _OPEN.values()}.values():
+        try:
+            delete_workspaces(spark)
+        except Exception:  # noqa: BLE001 - the session may have ended; its folder is then left to its owner
+            pass
+
+
 class Workspace:
-    """A private sub-folder of the shared folder, holding the tables that cut lineage."""
+    """A private sub-folder of the shared folder, holding the tables that cut lineage.
+
+    A result may read from it until it is used, so it lives until ``delete_workspaces`` is called, or the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        if not _OPEN:
+            atexit.register(_at_exit)
+        _OPEN[self.root] = spark
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -81,12 +106,6 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
-def together(*jobs):
-    """Run independent Spark actions at the same time and return their results in order."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(j) for j in jobs]]
-
-
 _SHIPPED: set[str] = set()
 
 
