@@ -70,8 +70,8 @@ _BY_LABEL = {w: code for code, words in LABELS.items() for w in words.split()}
 _LEAD = re.compile(r"^\s*(?:[-*•]+\s+|[A-Z]:\s+|a:\s+|b:\s+|\[[\d:.]+\]\s*|<[\d:.]+>\s*)*")
 _SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'”»)]*+\s+|\n+")
 _NOISE = re.compile(r"&=\S+|\[[^\]\n]{0,40}\]|<[^>\n]{0,40}>|\([^)\n]{0,40}\)")
-#: Words with digits, addresses, names joined twice, and units and marks are no language.
-_NO_WORD = re.compile(r"[\d@]|[-_].*[-_]|^(?i:xxx|yyy|www|db|hz|flac|mic|wav|txt)[.,;:]?$")
+#: Words with digits, addresses, names joined twice, and the marks of unintelligible speech are no language.
+_NO_WORD = re.compile(r"[\d@]|[-_].*[-_]|^(?i:xxx|yyy|www)[.,;:]?$")
 
 
 def label_code(label: str | None) -> str | None:

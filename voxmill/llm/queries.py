@@ -58,6 +58,7 @@ QUERIES = {
     "p2_splits": splits.assign_splits,
     "p2_report": splits.report,
     "p2_torn": _p2_torn,
+    "p2_classes": splits.speaker_classes,
     "p4_found": sampling.found,
     "p4_report": sampling.report,
     "p4_sample": sampling.sample,
@@ -86,6 +87,20 @@ _SPEAKER = f"'p' || lpad(ltrim(({_NUMBERS})[1], '0'), 7, '0')"
 
 _PROBS = ", ".join(f"({p})" for p in percentiles.REPORTED)
 
+_REACH = f"""
+        with recursive talk as (
+          select distinct conv, {_SPEAKER.format(c='speaker')} as s from turns),
+        named as (
+          select distinct list_transform({_NUMBERS.format(c='speaker_id')}, lambda y: 'p' || lpad(ltrim(y, '0'), 7, '0')) as n from mixed),
+        link as (
+          select a.s as a, b.s as b from talk a join talk b using (conv) where a.s <> b.s
+          union select x, y from (select n, unnest(n) as x from named) t, unnest(t.n) u(y) where x <> y
+          union select speaker_id, {_SPEAKER.format(c='same_as')} from speakers
+          union select {_SPEAKER.format(c='same_as')}, speaker_id from speakers),
+        known as (select a, b from link where a in (select speaker_id from speakers) and b in (select speaker_id from speakers) and a <> b),
+        reach as (select speaker_id as a, speaker_id as b from speakers union select r.a, k.b from reach r join known k on r.b = k.a)
+"""
+
 ORACLES = {
     "p2_torn": "select '' as unit, 0::bigint as n_splits where false",
     "p7_broken": "select '' as container, '' as bin, 0::bigint as doc_id where false",
@@ -104,20 +119,12 @@ ORACLES = {
         select dimension, grp, measure, n, cast(p as double) as p, value
         from r join (values {_PROBS}) as t(p) on r = greatest(1, ceil(round(cast(p as double) * n, 6)))
     """,
-    "p2_found": f"""
-        with recursive talk as (
-          select distinct conv, {_SPEAKER.format(c='speaker')} as s from turns),
-        named as (
-          select distinct list_transform({_NUMBERS.format(c='speaker_id')}, lambda y: 'p' || lpad(ltrim(y, '0'), 7, '0')) as n from mixed),
-        link as (
-          select a.s as a, b.s as b from talk a join talk b using (conv) where a.s <> b.s
-          union select x, y from (select n, unnest(n) as x from named) t, unnest(t.n) u(y) where x <> y
-          union select speaker_id, {_SPEAKER.format(c='same_as')} from speakers
-          union select {_SPEAKER.format(c='same_as')}, speaker_id from speakers),
-        known as (select a, b from link where a in (select speaker_id from speakers) and b in (select speaker_id from speakers) and a <> b),
-        reach as (select speaker_id as a, speaker_id as b from speakers union select r.a, k.b from reach r join known k on r.b = k.a)
+    "p2_found": f"""{_REACH}
         select a as speaker_a, b as speaker_b from reach where a < b
     """,
+    "p2_classes": f"""{_REACH}
+        select a as speaker_id, min(b) as class_id, count(*) as n_members from reach group by a
+    """,
     "p4_found": f"""
         with u as ({_USABLE}), n as (select count(*) as n from u)
         select plan_id, band from (

@@ -175,6 +175,13 @@ def assign_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(dealt, "root").select("table_name", "row_id", "split")
 
 
+def classes(forest: Forest) -> DataFrame:
+    """One row per node: speaker_id, class_id (the smallest node under its root) and n_members."""
+    m = forest.roots
+    own = m.groupBy("root").agg(F.min("node").alias("class_id"), F.count("*").alias("n_members"))
+    return m.join(own, "root").select(F.col("node").alias("speaker_id"), "class_id", "n_members")
+
+
 def same_split_pairs(forest: Forest) -> DataFrame:
     """All pairs of nodes under one root, smaller first: the form in which the links' closure is asked for."""
     m = forest.roots
@@ -184,6 +191,10 @@ def same_split_pairs(forest: Forest) -> DataFrame:
     return a.join(b, "root").filter("speaker_a < speaker_b").select("speaker_a", "speaker_b")
 
 
+def speaker_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(speaker_forest(spark, sf_dir, Workspace(spark, "splits")))
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_split_pairs(speaker_forest(spark, sf_dir, Workspace(spark, "splits")))
 
