@@ -49,24 +49,32 @@ def pack(demand: np.ndarray, limit: np.ndarray) -> np.ndarray:
     share = kinds / limit
     size = np.maximum((share**2).sum(axis=1), 1e-30) ** (NORM / 2)
     members = np.argsort(of, kind="stable")
-    start = np.r_[0, np.cumsum(count)]
-    used = np.zeros(len(kinds), np.int64)
+    at = np.r_[0, np.cumsum(count)][:-1].copy()
+    ends = at + count
+    columns, shares = [c.astype(float) for c in kinds.T], [np.ascontiguousarray(c) for c in share.T]
     out = np.full(len(demand), -1)
     left, number, rest = len(demand), 0, (share * count[:, None]).sum(axis=0)
+    live = np.ones(len(kinds), bool)
     while left:
-        room = limit.astype(float).copy()
+        room = limit.astype(float)
         spare = 1 - np.maximum(rest, 0) / max(rest.max(), 1e-30)
         while True:
-            fits = (used < count) & (kinds <= room).all(axis=1)
-            if not fits.any():
+            fits = live & (columns[0] <= room[0])
+            for c, r in zip(columns[1:], room[1:]):
+                fits &= c <= r
+            some = fits.nonzero()[0]
+            if not len(some):
                 break
-            score = share @ np.maximum(room / limit - spare, 1e-6)
+            weight = np.maximum(room / limit - spare, 1e-6)
+            score = shares[0][some] * weight[0]
+            for c, w in zip(shares[1:], weight[1:]):
+                score += c[some] * w
             if room[0] > CLOSE * limit[0]:
-                score = score / size
-            score = np.where(fits, score, -1.0)
-            k = int(len(score) - 1 - score[::-1].argmax())
-            out[members[start[k] + used[k]]] = number
-            used[k] += 1
+                score /= size[some]
+            k = some[len(score) - 1 - score[::-1].argmax()]
+            out[members[at[k]]] = number
+            at[k] += 1
+            live[k] = at[k] < ends[k]
             left -= 1
             room -= kinds[k]
             rest -= share[k]
