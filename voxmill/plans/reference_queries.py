@@ -286,6 +286,16 @@ def normalize_gain(spark, d):
     return v.select("vec_id", F.round(S.gain_of(scene.ITEM_LEVEL - F.col("db")), R).alias("gain"), F.round(S.peak(F.col("out")), R).alias("peak"))
 
 
+def room_input(spark, d):
+    """Peak-normalised vectors, cut or padded to a length, and brought to the speech level."""
+    fit = lambda n: S.fitted(S.peak_normalized(F.col("a")), n)
+    v = _vec(spark, d).withColumn("y", F.when(F.col("vec_id") % 2 == 0, fit(40)).otherwise(fit(101)))
+    v = v.withColumn("gain", S.gain_of(scene.SPEECH_LEVEL - S.level_db(F.col("y"), FS)))
+    out = S.scaled(F.col("y"), F.col("gain"))
+    total = F.aggregate(F.transform(F.col("y"), lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
+    return v.select("vec_id", F.size("y").alias("n"), F.round(total, R).alias("moment"), F.round(F.log10("gain"), R).alias("log_gain"), F.round(S.level_db(out, FS), 2).alias("db"))
+
+
 def fade_pad_concat(spark, d):
     faded = S.faded(F.col("a"), 1000)
     out = S.with_gaps([faded, F.col("a")], S.silence(1000, 0.005))
@@ -346,7 +356,7 @@ QUERIES = {
         missing_counters, name_parts, clean_words, clean_documents, clean_transcript_tokens, turn_runs, length_stats, length_histogram,
         running_turn_stats, running_match_stats, pack_broken, match_broken, conversations_broken, first_m_per_speaker, turn_transcripts, write_once_transcripts, pack_summary, pack_unused, pack_timeline,
         unused_audio_pct, pack_utterances, match_groups, speaker_pairs, conversation_attempt, conversations_built, conversation_timeline,
-        condition_grid, segment_offsets, completeness_audit, audit_levels, audit_totals, level_db, normalize_gain, fade_pad_concat,
+        condition_grid, segment_offsets, completeness_audit, audit_levels, audit_totals, level_db, normalize_gain, room_input, fade_pad_concat,
         mix_scene_levels, activity_frames, tile_average, localize_offset, unmix_fit,
     )
 }
@@ -551,6 +561,14 @@ ORACLES = {
         with recursive {_CHECKS}, {_audit_levels_sql()}
         select count(*) as n_checked, cast(count(*) filter (status <> 'CHECKED') + count(*) filter (abs(measured - sar_db) > 0.5) as bigint) as n_failed
         from chk left join measured on status = 'CHECKED' and k = stem || '|' || ebr || '|' || sar""",
+    "room_input": f"""
+        with recursive {_VEC},
+        unit as (select k, list_transform(a, lambda x: x / (list_max(list_transform(a, lambda y: abs(y))) + 1e-9)) as a from vec),
+        y as (select k, case when k % 2 = 0 then a[1:40]
+            else list_concat(list_transform(range(18), lambda i: 0.0), a, list_transform(range(19), lambda i: 0.0)) end as a from unit),
+        {_level('y', 'l')}
+        select k as vec_id, cast(len(a) as int) as n, round(list_sum(list_transform(a, lambda x, i: x * i)), 6) as moment,
+          round((-136.93 - db) / 20, 6) as log_gain, cast(-136.93 as double) as db from y join l using (k)""",
     "level_db": f"with recursive {_VEC}, {_level('vec', 'l')} select k as vec_id, round(db, 6) as db from l",
     "normalize_gain": f"""
         with recursive {_VEC}, {_level('vec', 'l')},
