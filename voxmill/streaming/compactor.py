@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxmill.functions.paths import canonical_path
-from voxmill.runtime import Workspace, delete, exists, is_file
+from voxmill.runtime import Workspace, broadcast_if_small, delete, exists, is_file
 
 #: Size of an output file, and of the input files taken into one batch. A batch holds its keys against those of all
 #: earlier ones, whose fingerprints are a thousandth of the data, so batches should be large.
@@ -76,28 +76,33 @@ def compact(
     size = F.greatest(F.octet_length("content"), F.lit(0)) if has_content else F.lit(0)
     keyed = keyed.withColumn("stored_bytes", (F.coalesce(size, F.lit(0)) + F.lit(64)).cast("long"))
     filled = F.col("content").isNotNull() if has_content else F.lit(True)
-    best = Window.partitionBy("file_key").orderBy(*([F.col("content").isNull()] if has_content else []), F.col(id_col).asc_nulls_last())
+    # The row with content and the smallest id wins; null ids are last.
+    best = F.min(F.struct((~filled).alias("empty"), F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), "_row", "stored_bytes"))
     store = _Store(spark, out, keyed.schema, id_col)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        columns = batch.columns
+        batch = batch.withColumn("_row", F.monotonically_increasing_id()).persist()
         try:
             batch.select(id_col, "file_key").write.mode("overwrite").parquet(f"{out}/members/batch={number}")
-            fresh = batch.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r").select(*_fingerprint(), *batch.columns)
-            earlier, absorbed = [], []
+            fresh = batch.groupBy("file_key").agg(best.alias("b")).select(*_fingerprint(), "file_key", (~F.col("b.empty")).alias("filled"), "b.stored_bytes", F.col("b._row").alias("row"))
+            earlier, absorbed, again = [], [], F.lit(None).cast("string")
             if number > 0:
                 store.clear(number)
                 known = store.keys(number).groupBy(*_PRINTS).agg(F.max("filled").alias("_filled"))  # a key is stored twice at most
-                fresh = fresh.join(known, _PRINTS, "left").filter(F.col("_filled").isNull() | (filled & ~F.col("_filled")))
-                again = fresh.filter("_filled is not null").select("file_key")
-                again.write.mode("overwrite").parquet(f"{out}/replaced/batch={number}")
-                sizes = store.live(number)
-                absorbed = sorted(n for n, size in sizes.items() if size < target_bytes // 2)
+                fresh = fresh.join(known, _PRINTS, "left").filter(F.col("_filled").isNull() | (F.col("filled") & ~F.col("_filled")))
+                again = F.when(F.col("_filled").isNotNull(), F.col("file_key"))
+            fresh.select(*_PRINTS, "filled", "stored_bytes", "row", again.alias("again")).write.mode("overwrite").parquet(f"{out}/keys/batch={number}")
+            chosen = store.keys(number + 1).filter(F.col("batch") == number)
+            n, total = (int(x or 0) for x in chosen.agg(F.count("*"), F.sum("stored_bytes")).first())
+            if number > 0:
+                chosen.filter("again is not null").select(F.col("again").alias("file_key")).write.mode("overwrite").parquet(f"{out}/replaced/batch={number}")
+                absorbed = sorted(k for k, size in store.live(number).items() if size < target_bytes // 2)
                 if absorbed:
                     earlier = [store.records(number, absorbed).join(store.replaced(number + 1, number), "file_key", "left_anti")]
-            fresh.select(*_PRINTS, filled.alias("filled"), "stored_bytes").write.mode("overwrite").parquet(f"{out}/keys/batch={number}")
-            laid = reduce(DataFrame.unionByName, [fresh.select(batch.columns), *[e.select(batch.columns) for e in earlier]])
-            total = sum(int(d.agg(F.sum("stored_bytes")).first()[0] or 0) for d in (store.keys(number + 1).filter(F.col("batch") == number), *earlier))
+                    total += int(earlier[0].agg(F.sum("stored_bytes")).first()[0] or 0)
+            rows = broadcast_if_small(chosen.select(F.col("row").alias("_row")), n, 16)
+            laid = reduce(DataFrame.unionByName, [batch.join(rows, "_row", "left_semi").select(columns), *[e.select(columns) for e in earlier]])
             parts = max(1, -(-total // target_bytes))
             # A range layout keeps neighbouring recordings in one file and splits a hot folder.
             laid = laid.repartitionByRange(parts, "file_key") if parts > 1 else laid.repartition(1)
@@ -134,7 +139,7 @@ class _Store:
         return df if number is None else df.filter(F.col("batch") < number)
 
     def keys(self, number: int) -> DataFrame:
-        return self.read("keys", "k1 long, k2 long, filled boolean, stored_bytes long", number)
+        return self.read("keys", "k1 long, k2 long, filled boolean, stored_bytes long, row long, again string", number)
 
     def replaced(self, number: int | None = None, at_least: int = 0) -> DataFrame:
         return self.read("replaced", "file_key string", number).filter(F.col("batch") >= at_least).withColumnRenamed("batch", "_by")
