@@ -107,6 +107,10 @@ def test_sample_meets_targets_or_reports(spark):
     assert abs(r[1, "m"]["taken"] / 500 - 0.5 / 0.9) < 0.01
     got = drawn.filter("plan_id = 1").collect()
     assert len({x["utterance_id"] for x in got}) == len(got) == 500
+    bands = spark.createDataFrame(targets, TARGETS)
+    assert sampling.violations(drawn, bands, report).count() == 0
+    assert {x["band"] for x in sampling.violations(drawn.withColumn("words", F.lit(99)), bands, report).collect()} == {"s", "m", "l"}
+    assert sampling.violations(drawn.union(drawn.filter("band = 'm'").limit(1)), bands, report).count() > 0
     again = sampling.sample_to_targets(rec.repartition(7), spark.createDataFrame(targets, TARGETS))[0]
     assert {tuple(x) for x in again.collect()} == {tuple(x) for x in drawn.collect()}
 

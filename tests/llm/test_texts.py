@@ -110,6 +110,17 @@ def test_mix_reaches_targets_within_allowance(spark):
     assert len({(x["mix_id"], x["doc_id"], x["pass"]) for x in rec.collect()}) == rec.count()
 
 
+def test_records_of_a_mix_stay_within_a_block_of_their_shares(spark):
+    rng = random.Random(6)
+    docs = [(i, rng.choice(["a", "b", "c"]), rng.choice([3, 40, 200, 900])) for i in range(3000)] + [(9999, "b", 20_000)]
+    targets = [(1, "a", 0.5, 1, 0.6), (1, "b", 0.3, 2, 0.6), (1, "c", 0.2, 4, 0.6), (2, "c", 0.9, 1, 0.02), (2, "a", 0.1, 1, 0.02)]
+    rec, rep = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, tokens long"), spark.createDataFrame(targets, "mix_id int, source string, target_weight double, max_repeats int, budget_frac double"))
+    rec, rep = rec.cache(), rep.cache()
+    assert mixing.strays(rec, rep).count() == 0 and rep.filter("short").count() == 0
+    assert mixing.strays(rec.withColumn("slot", F.when(F.col("source") == "a", 0).otherwise(F.col("slot"))), rep).count() > 0
+    assert {r["mix_id"]: r["block_tokens"] for r in rep.collect()} == {1: 40_000.0, 2: 1800.0}
+
+
 def test_mix_of_nothing(spark):
     rec, rep = mixing.mix(spark.createDataFrame([], "doc_id long, source string, tokens long"), spark.createDataFrame([(1, "a", 0.5, 2, 1.0)], "mix_id int, source string, target_weight double, max_repeats int, budget_frac double"))
     assert rec.count() == 0 and [x["short"] for x in rep.collect()] == [False]

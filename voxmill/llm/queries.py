@@ -51,6 +51,12 @@ def _p2_torn(spark, sf_dir):
     return people.unionByName(convs).groupBy("unit").agg(F.count("*").alias("n_splits")).filter("n_splits > 1")
 
 
+def _p5_covered(spark, sf_dir):
+    """Events and positions that the runs of each file cover: all of them, once."""
+    r = repeats.repeat_runs(spark.read.parquet(f"{sf_dir}/transcripts.parquet"))
+    return r.groupBy("file").agg(F.sum("n_events").alias("n_events"), F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"))
+
+
 QUERIES = {
     "p1_found": _p1_found,
     "p1_turns": _p1_turns,
@@ -62,8 +68,10 @@ QUERIES = {
     "p4_found": sampling.found,
     "p4_report": sampling.report,
     "p4_sample": sampling.sample,
+    "p4_broken": sampling.broken,
     "p5_found": _p5_found,
     "p5_events": _p5_events,
+    "p5_covered": _p5_covered,
     "p6_percentiles": percentiles.report,
     "p7_found": containers.found,
     "p7_filled": containers.filled,
@@ -103,6 +111,11 @@ _REACH = f"""
 
 ORACLES = {
     "p2_torn": "select '' as unit, 0::bigint as n_splits where false",
+    "p4_broken": "select 0::int as plan_id, '' as band, 0::bigint as n where false",
+    "p5_covered": """
+        select file, count(distinct idx) as n_events, cast(min(idx) as bigint) as first_idx, cast(max(idx) as bigint) as last_idx
+        from transcripts where file is not null and idx is not null group by 1
+    """,
     "p7_broken": "select '' as container, '' as bin, 0::bigint as doc_id where false",
     "p8_strays": "select 0::int as mix_id, '' as source, 0::int as slot, 0::double as off_tokens where false",
     "p6_percentiles": f"""

@@ -146,6 +146,17 @@ def _by(*cols: str | Column):
     return Window.partitionBy(*cols)
 
 
+def violations(drawn: DataFrame, targets: DataFrame, report: DataFrame, record_id: str = "utterance_id", value: str = "words", plan: str = "plan_id", category: str = "band") -> DataFrame:
+    """(plan, category, n): drawn records outside their band, drawn twice or without a smaller rank; and bands below their reachable minimum; empty if all is well."""
+    band = targets.select(F.col(plan).alias("_p"), F.col(category).alias("_c"), F.col(f"lo_{value}").alias("_lo"), F.col(f"hi_{value}").alias("_hi"))
+    d = drawn.join(F.broadcast(band), F.col(plan).eqNullSafe(F.col("_p")) & F.col(category).eqNullSafe(F.col("_c")))  # at most MAX_TARGETS rows
+    out = d.filter((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).groupBy(plan, category).agg(F.count("*").alias("n"))
+    twice = drawn.groupBy(plan, category, record_id).agg(F.count("*").alias("k")).filter("k > 1").groupBy(plan, category).agg(F.count("*").alias("n"))
+    ranks = drawn.groupBy(plan, category).agg(F.count("*").alias("n"), F.max("rank").alias("last")).filter("n <> last").select(plan, category, "n")
+    below = report.filter(F.col("taken") < F.least("available", "min_rows")).select(plan, category, F.col("taken").alias("n"))
+    return out.unionByName(twice).unionByName(ranks).unionByName(below)
+
+
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sample_to_targets(spark.read.parquet(f"{sf_dir}/utterances.parquet").select("utterance_id", "words"), spark.read.parquet(f"{sf_dir}/length_targets.parquet"))
 
@@ -160,3 +171,8 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir)[1].drop("reached_share", "drawable")
+
+
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn, made = _run(spark, sf_dir)
+    return violations(drawn, spark.read.parquet(f"{sf_dir}/length_targets.parquet"), made)
