@@ -159,12 +159,16 @@ def test_folding_and_repair():
     assert [b for _, _, b in langid.sentences("A: Bonjour tout le monde. Ça va ?\n[12:30] xxx\n2024-01-01 10:00\nebr-low-sar-mid")] == ["bonjour tout le monde", "ca va"]
 
 
-@pytest.fixture(scope="module")
-def model():
+def labelled():
     import duckdb
 
     rows = duckdb.sql("select lang, text from '/root/testdata/sf0.01/documents.parquet' where text is not null order by md5(doc_id::varchar)").fetchall()
-    return langid.fit([(c, t) for label, t in rows if (c := langid.label_code(label)) not in (None, "?")])
+    return [(c, t) for label, t in rows if (c := langid.label_code(label)) not in (None, "?")]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return langid.fit(labelled())
 
 
 HELD_OUT = {
@@ -178,6 +182,20 @@ HELD_OUT = {
 }
 
 
+def test_the_fit_does_not_depend_on_the_order_of_languages(model):
+    """Also if each language's documents come in turn, as many as there are judges apart."""
+    rows = labelled()
+    nth = Counter()
+    keyed = []
+    for code, text in rows:
+        keyed.append((nth[code], code, text))
+        nth[code] += 1
+    other = langid.fit([(c, t) for _, c, t in sorted(keyed)])
+    texts = [t for _, t in rows[:300]]
+    a, b = ([{x[2] for x in f} for f in langid.passages(texts, m)] for m in (model, other))
+    assert sum(x != y for x, y in zip(a, b)) <= 3
+
+
 @pytest.mark.parametrize("code", HELD_OUT)
 def test_held_out_sentences(model, code):
     (found,) = langid.passages([HELD_OUT[code]], model)
@@ -211,6 +229,11 @@ def test_agreement_with_labels_of_held_out_documents(model):
     assert right / len(rows) > 0.92  # the table's own labels are wrong in about one row of twenty
 
 
+def test_the_sample_does_not_depend_on_partitioning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert langid.sample_labelled(docs.repartition(5), 7) == langid.sample_labelled(docs.coalesce(1), 7)
+
+
 def test_segments_frame(spark, model):
     rows = [(1, "en", HELD_OUT["de"]), (2, None, None), (3, "de", ""), (4, "xx", HELD_OUT["fr"])]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("label", F.lit("clash")).withColumn("segment", F.lit("clash"))

@@ -250,7 +250,11 @@ def fit(rows: list[tuple[str, str]], chars: int = SAMPLE_CHARS) -> Model:
                 votes.setdefault(body, Counter())[code] += 1
                 home.setdefault(body, (k, d))
         filed.add(said)
-    size = Counter(code for code, _ in rows)
+    size: Counter[str] = Counter()
+    judge = []  # each language's documents go to the judges in turn
+    for code, _ in rows:
+        judge.append(size[code] % JUDGES)
+        size[code] += 1
     own: dict[str, list[str]] = {}
     firm: set[str] = set()
     # All documents' first sentences come before any second one, so that a long mislabelled
@@ -271,15 +275,15 @@ def fit(rows: list[tuple[str, str]], chars: int = SAMPLE_CHARS) -> Model:
     codes = sorted(own)
     costs = np.full((JUDGES, len(judged), len(codes)), np.nan)
     for h in range(JUDGES):
-        model = build({c: [b for b in p if home[b][1] % JUDGES == h] for c, p in own.items()})
-        at = [i for i, (_, b) in enumerate(judged) if home[b][1] % JUDGES != h]
+        model = build({c: [b for b in p if judge[home[b][1]] == h] for c, p in own.items()})
+        at = [i for i, (_, b) in enumerate(judged) if judge[home[b][1]] != h]
         if at and model.codes:
             costs[np.ix_([h], at, [codes.index(c) for c in model.codes])] = model.costs([judged[i][1] for i in at])
     # Own cost against the best other language's, as the judges see it in the median.
     costs = np.where(np.isnan(costs), np.inf, costs)
     ratio: dict[str, float] = {}
     for i, (c, b) in enumerate(judged):
-        seen = costs[[h for h in range(JUDGES) if home[b][1] % JUDGES != h], i]
+        seen = costs[[h for h in range(JUDGES) if judge[home[b][1]] != h], i]
         own_cost, rest = seen[:, codes.index(c)], np.delete(seen, codes.index(c), axis=1)
         others = rest.min(axis=1, initial=1e9)
         ratio[b] = float(np.median(np.minimum(own_cost, 1e9) / np.maximum(others, 1e-9)))
@@ -297,7 +301,7 @@ def fit(rows: list[tuple[str, str]], chars: int = SAMPLE_CHARS) -> Model:
 
 
 def sample_labelled(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled documents of each of the ten languages, in hashed order.
+    """(code, text) of at most ``per_language`` labelled documents of each of the ten languages, in hashed order.
 
     The window keeps only each partition's first rows before the shuffle, so nothing unbounded moves.
     """
@@ -306,7 +310,9 @@ def sample_labelled(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tu
     code = F.coalesce(words[label], words[F.split(label, r"[-_.@( ]")[0]])
     best = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.select(code.alias("code"), "doc_id", F.substring("text", 1, 20_000).alias("text")).filter("code is not null and text is not null")
-    return [(r["code"], r["text"]) for r in rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language).collect()]
+    rows = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language).collect()
+    # The fit prefers earlier rows, so their order must not depend on partitioning.
+    return [(r["code"], r["text"]) for r in sorted(rows, key=lambda r: (r["code"], r["r"]))]
 
 
 def _settle(parts: list[tuple[int, int, str]], cost: np.ndarray, codes: list[str]) -> list[tuple[int, int, str, float]]:
