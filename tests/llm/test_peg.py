@@ -69,3 +69,9 @@ def test_very_long_utterance():
 def test_any_tokens_parse_and_cleaning_is_stable(tokens):
     words, _, _ = parse_utterance(tokens)
     assert parse_utterance(words)[0] == [w for w in words if parse_utterance([w])[0]]
+
+
+def test_a_very_long_utterance_and_wide_letters():
+    words, noises, times = parse_utterance(["well ,", "uh", "it's"] * 200_000 + ["[door slams]", "12:30"])
+    assert len(words) == 400_000 and set(words) == {"well", "it's"} and noises == ["door slams"] and times == 1
+    assert regular_participant("＊Ａ：") == regular_participant("ａ") == "A"

@@ -22,7 +22,7 @@ from voxmill.llm.runs import pieces, runs, with_run_start
 # The marks of the transcript conventions.
 UTTERANCE = r"""
 Utterance <- (Plain / Filler / Unclear / Word / Space / Mark / Time / Event / Code / Stray)*
-Plain     <- ~"(?:(?!(?i:u+h+m*|u+m+|e+r+m*|e+h+m*|h+m+|m+h+m+|mm+|xxx|yyy|www)(?![\w'’]))[A-Za-z]++(?:['’][A-Za-z]++)*+[.,!?…]*+(?:\s++[.,!?…]++)*+(?:\s++|$))+"
+Plain     <- ~"(?:(?!(?i:u+h+m*|u+m+|e+r+m*|e+h+m*|h+m+|m+h+m+|mm+|xxx|yyy|www)(?![\w'’]))[A-Za-z]++(?:['’][A-Za-z]++)*+[.,!?…]*+(?:\s++[.,!?…]++)*+(?:\s++|$))++"
 Space     <- ~"\s+"
 Time      <- &~"[\x15<\d\[(]" (Bullet / Tag / Clock / Seconds / Span)
 Bullet    <- '\x15' ~"[\d_\s]*" '\x15'
@@ -73,9 +73,10 @@ def _label() -> Grammar:
 
 @lru_cache(maxsize=65536)
 def regular_participant(label: str | None) -> str | None:
-    """The capital letter that a participant label means; None for none, blank or another name."""
+    """The capital letter that a participant label means, in any width; None for none, blank or another name."""
     if not isinstance(label, str):
         return None
+    label = label if label.isascii() else unicodedata.normalize("NFKC", label)
     tree = _label().parse(label)
     if tree is None:
         return None
