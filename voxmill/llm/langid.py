@@ -63,6 +63,12 @@ LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмно
 # Letters that decomposition does not reduce to base letters.
 PLAIN = {"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ё": "е"}
 
+# The short i is a letter of its own, not one with a mark, and is put back after decomposition.
+_PLAIN = str.maketrans(PLAIN | {"й": "\ufffe"})
+#: Blocks of combining marks.
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+_LETTERS = re.compile("[a-zа-я]+")
+
 _CODE = {c: i + 1 for i, c in enumerate(LATIN)} | {c: i + 27 for i, c in enumerate(CYRILLIC)}
 _TO_CODE = str.maketrans({c: chr(i) for c, i in _CODE.items()} | {" ": "\0"})
 _BY_LABEL = {w: code for code, words in LABELS.items() for w in words.split()}
@@ -71,6 +77,7 @@ _LEAD = re.compile(r"^\s*(?:[-*•]+\s+|[A-Z]:\s+|a:\s+|b:\s+|\[[\d:.]+\]\s*|<[\
 _SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'”»)]*+\s+|\n+")
 _NOISE = re.compile(r"&=\S+|\[[^\]\n]{0,40}\]|<[^>\n]{0,40}>|\([^)\n]{0,40}\)")
 #: Words with digits, addresses, names joined twice, and the marks of unintelligible speech are no language.
+_MAYBE_NO_WORD = re.compile(r"[\d@]|[-_]|(?i:xxx|yyy|www)")
 _NO_WORD = re.compile(r"[\d@]|[-_].*[-_]|^(?i:xxx|yyy|www)[.,;:]?$")
 
 
@@ -102,9 +109,9 @@ def folded(text: str) -> str:
     """Lower-case base letters and single spaces only; accents, digits and marks are dropped."""
     t = text.lower()
     if not t.isascii():
-        t = "".join(PLAIN.get(c, c) for c in t)
-        t = "".join(c for c in unicodedata.normalize("NFD", t.replace("й", "\ufffe")) if not unicodedata.combining(c)).replace("\ufffe", "й")
-    return " ".join(re.findall(r"[a-zа-я]+", t))
+        t = unicodedata.normalize("NFD", t.translate(_PLAIN))
+        t = _MARKS.sub("", t).replace("\ufffe", "й")
+    return " ".join(_LETTERS.findall(t))
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -114,7 +121,9 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         end = m.end() if m else len(text)
         raw = text[at:end]
         kept = _NOISE.sub(" ", _LEAD.sub("", repaired(raw)))
-        body = folded(" ".join(w for w in kept.split() if not _NO_WORD.search(w)))
+        if _MAYBE_NO_WORD.search(kept):
+            kept = " ".join(w for w in kept.split() if not _NO_WORD.search(w))
+        body = folded(kept)
         if body:
             out.append((at, at + len(raw.rstrip()), body))
         at = end
@@ -122,7 +131,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 
 class Automaton:
-    """Suffix automaton of a text, as a dense table of transitions (-1: none) for vectorised parsing."""
+    """Suffix automaton of a text, as a dense table of steps for vectorised parsing."""
 
     def __init__(self, text: str):
         nxt: list[dict[int, int]] = [{}]
@@ -152,34 +161,34 @@ class Automaton:
                     link[q] = link[cur] = clone
             last = cur
         used = sorted({c for d in nxt for c in d})
-        self.columns = np.full(len(_CODE) + 1, len(used), np.int16)  # letters that never occur share a column of mismatches
+        self.columns = np.full(len(_CODE) + 1, len(used), np.int32)  # letters that never occur share a column of mismatches
         self.columns[used] = np.arange(len(used))
-        self.table = np.full((len(nxt), len(used) + 1), -1, np.int32)
         back = {c: i for i, c in enumerate(used)}
+        width = len(used) + 1
+        table = np.full((len(nxt), width), -1, np.int32)
         for s, d in enumerate(nxt):
             for c, t in d.items():
-                self.table[s, back[c]] = t
+                table[s, back[c]] = t
+        # An entry is where the next state's row starts, times two, and one more if a phrase starts with this
+        # letter: at the root, where no phrase is open, and wherever the text does not go on.
+        starts = table < 0
+        starts[0] = True
+        self.steps = (np.where(starts, np.maximum(table[0], 0), table) * (2 * width) + starts).ravel()
         self.bits = math.log2(max(2, len(text)))
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Number of phrases of each row of ``codes`` (padded; ``lengths`` descending), all rows side by side.
+        """Number of phrases of each column of ``codes`` (letters x texts, padded; ``lengths`` descending), all side by side.
 
         A phrase is counted where it starts; a letter that the text lacks is a phrase of its own.
         """
         n = len(lengths)
-        state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)  # state 0, the root: no phrase is open
+        state, count = np.zeros(n, np.int32), np.zeros(n, np.int32)
         cols = self.columns[codes]
-        width = self.table.shape[1]
-        flat = self.table.ravel()
-        root = np.maximum(self.table[0], 0)
-        for t in range(codes.shape[1]):
-            m = int(np.searchsorted(-lengths, -t, side="left"))  # rows longer than t
-            c = cols[:m, t]
-            s = state[:m]
-            to = flat[s * width + c]
-            starts = (to < 0) | (s == 0)
-            count[:m] += starts
-            state[:m] = np.where(starts, root[c], to)
+        open_ = np.searchsorted(-lengths, -np.arange(len(codes)), side="left").tolist()  # texts longer than t
+        for t, m in enumerate(open_):
+            step = self.steps.take(state[:m] + cols[t, :m])
+            count[:m] += step & 1
+            np.right_shift(step, 1, out=state[:m])
         return count
 
 
@@ -205,6 +214,7 @@ class Model:
             codes = np.zeros((len(part), int(lengths[0])), np.uint8)
             for r, (t, _) in enumerate(part):
                 codes[r, : lengths[r]] = np.frombuffer(t.translate(_TO_CODE).encode("latin-1", "replace"), np.uint8)
+            codes = np.ascontiguousarray(codes.T)
             rows = np.array([r for _, r in part])
             for k, a in enumerate(self.automata):
                 np.add.at(out[:, k], rows, a.phrases(codes, lengths))
@@ -334,10 +344,12 @@ def _settle(parts: list[tuple[int, int, str]], cost: np.ndarray, codes: list[str
         before, after = settled[np.maximum(at - 1, 0)], settled[np.minimum(at, len(settled) - 1)]
         near = np.where(np.abs(here - before) <= np.abs(after - here), before, after)
         best = np.where(sure, best, best[near])
+    # The best of the other languages: the second of all where the chosen one is the first.
+    own = cost[np.arange(len(best)), best]
+    other = np.where(own <= two[:, 0], two[:, 1], two[:, 0])
+    sureness = np.maximum(0.0, 1.0 - own / np.where(other > 0, other, np.inf)) * (other > 0)
     out: list[list] = []
-    for (s, e, b), k, row, t in zip(parts, best, cost, two):
-        other = np.delete(row, k).min() if len(row) > 1 else row[k] * 2
-        conf = max(0.0, 1.0 - row[k] / other) if other > 0 else 0.0
+    for (s, e, b), k, conf in zip(parts, best.tolist(), sureness.tolist()):
         if out and out[-1][2] == codes[k]:
             last = out[-1]
             last[3] = (last[3] * last[4] + conf * len(b)) / (last[4] + len(b))
