@@ -55,7 +55,8 @@ def _catalogue(spark: SparkSession, root: str, glob: str = "*_mic1.{wav,flac}")
     a = wav.read_audio(spark, f"{root}/{AUDIO_DIR}", glob, samples=False).filter("error is null")
     name = X.base_name(F.col("path"))
     a = a.select("path", name.alias("name"), X.speaker_of(name).alias("speaker"), F.split_part(X.stem(name), F.lit("_"), F.lit(2)).alias("utt"), "sr", "duration")
-    return a.join(_texts(spark, root), F.concat_ws("_", "speaker", "utt") == F.col("key"), "left").drop("key")
+    # Stored once, since the jobs read it several times and each reading would open every file.
+    return Workspace(spark, "catalogue").save(a.join(_texts(spark, root), F.concat_ws("_", "speaker", "utt") == F.col("key"), "left").drop("key"), "catalogue")
 
 
 def _opened(path: str) -> tuple[np.ndarray, int]:
