@@ -55,7 +55,7 @@ def candidates(counts: DataFrame) -> DataFrame:
 
 
 def most_places(classes: dict[tuple[int, int], tuple[int, int, int]], seen: dict[tuple[int, int, int], int]) -> dict[tuple[int, int], tuple[int, float, int]]:
-    """Per class of usual words: the most places in which a form of theirs may occur and still be a slip, the rate of slips, and the class' forms.
+    """Per class of usual words: the most places in which a form of theirs may occur and still be a slip, the rate of slips, and the level's forms.
 
     A class is a level of frequency (powers of two) and a length. ``classes``: class -> (forms that
     slips of its words can have, chances for them, occurrences of its words); a word with 13 forms
@@ -110,7 +110,10 @@ def most_places(classes: dict[tuple[int, int], tuple[int, int, int]], seen: dict
         if sum(explained(c, 1, 0) for c in classes if c[0] == level) < EXPLAINED * sum(k for x in at for _, k in left[x]):
             for x in at:
                 left[x] = left[x][1:] if left[x] and left[x][0][0] == 1 and len(left[x]) == 1 else left[x]
-    return {c: (own[-1][0], rate(c[1], 0), classes[c][0]) for c, own in left.items() if own}
+    of_level: dict[int, int] = {}
+    for (level, _), x in classes.items():
+        of_level[level] = of_level.get(level, 0) + x[0]
+    return {c: (own[-1][0], rate(c[1], 0), of_level[c[0]]) for c, own in left.items() if own}
 
 
 def forms_of(word: Column) -> Column:
@@ -118,6 +121,13 @@ def forms_of(word: Column) -> Column:
     return (2 * F.length(F.regexp_replace(word, r"(.)\1+", "$1")) - 1).cast("long")
 
 
+def _tail(n: Column, mean: Column) -> Column:
+    """About the chance of ``n`` or more by a negative binomial distribution of shape 4: chance with some unevenness."""
+    p = mean / (4 + mean)
+    mass = (n + 1) * (n + 2) * (n + 3) / 6 * F.pow(1 - p, F.lit(4)) * F.pow(p, n)
+    return F.when(n <= mean, F.lit(1.0)).otherwise(F.least(F.lit(1.0), mass / (1 - p * (n + 4) / (n + 1))))
+
+
 def slips(said: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """(hits, fixes): ``hits`` are the rows of ``said`` (word, place, ...) that are a candidate, with its usual word;
     ``fixes`` (word, usual) are the candidates that are slips.
@@ -138,13 +148,12 @@ def slips(said: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     classes = counts.withColumn("forms", forms_of(F.col("word"))).groupBy(level("n").alias("level"), length("word").alias("length")).agg(F.sum("forms"), F.sum(F.col("forms") * F.col("n")), F.sum("n"))
     seen = places.groupBy("level", "length", "places").agg(F.count("*"))
     most = most_places({tuple(r)[:2]: tuple(r)[2:] for r in classes.collect()}, {tuple(r)[:3]: r[3] for r in seen.collect()})
-    top = F.broadcast(ws.spark.createDataFrame([(*c, *x) for c, x in most.items()], "level int, length int, top long, rate double, class_forms long"))  # a row per class
+    top = F.broadcast(ws.spark.createDataFrame([(*c, *x) for c, x in most.items()], "level int, length int, top long, rate double, level_forms long"))  # a row per class
     passed = places.join(top, ["level", "length"]).filter("places <= top")
     others = F.sum("places").over(Window.partitionBy("usual")) - F.col("places")  # a word has at most twice its length of forms
     chances = F.greatest(forms_of(F.col("usual")) - 1, F.lit(1)) * F.col("n_usual")
     mean = F.col("n_usual") * (others + 1) / (chances + 1 / F.col("rate"))
-    m = F.when(F.col("places") > 1, mean * UNEVEN_FORMS).otherwise(mean)
-    kept = passed.withColumn("m", m).filter((F.col("places") == 1) | (F.col("class_forms") * F.pow(F.col("m") / (1 + F.col("m")), F.col("places")) >= EXPLAINED))
+    kept = passed.withColumn("_m", mean * UNEVEN_FORMS).filter((F.col("places") == 1) | (F.col("level_forms") * _tail(F.col("places"), F.col("_m")) >= EXPLAINED))
     return hits, kept.select("word", "usual")
 
 
